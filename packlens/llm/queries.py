@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.llm import packing, sharding, tokens, topk, url_filter
+from packlens.llm import decontam, line_dedup, packing, pii, sharding, tokens, topk, url_filter
 from packlens.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+MIN_SITES = 3
+PII_KEY = "packlens"  # a deployment passes its own secret
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -17,6 +19,18 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).drop("lang", "source", "n_chars")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), BPE, 1024)
 
@@ -35,6 +49,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_pii": op3_pii,
+    "op8_decontamination": op8_decontamination,
     "op2_exact_topk": op2_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
