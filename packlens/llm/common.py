@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +55,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a Spark context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_packlens_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="packlens-")) / "packlens.zip"  # read by the driver's file server alone
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(archive))
+        sc._packlens_shipped = True
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.llm import decontam, line_dedup, packing, pii, sharding, tokens, topk, url_filter
+from packlens.llm import decontam, jaccard, line_dedup, packing, pii, sharding, tokens, topk, url_filter
 from packlens.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,10 +48,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages"), URL_RULES, "allow")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_pii": op3_pii,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op2_exact_topk": op2_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,

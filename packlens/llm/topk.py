@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlens.llm.common import Scratch
+from packlens.llm.common import Scratch, ship
 
 SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS, LEAF_ROWS = 16_384, 1_024, 2_048, 128
 
@@ -104,6 +104,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     their results. Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     scratch = Scratch(spark)
     base = scratch.write(vectors.distinct())
     asked = scratch.write(queries.distinct())
