@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packlens.llm import decontam, jaccard, line_dedup, packing, pii, sharding, tokens, topk, url_filter
+from packlens.llm import decontam, jaccard, line_dedup, packing, pii, sharding, tokens, topk, toxicity, url_filter
 from packlens.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,7 +52,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op1_line_dedup": op1_line_dedup,
     "op3_pii": op3_pii,
     "op8_decontamination": op8_decontamination,
