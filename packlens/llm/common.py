@@ -72,6 +72,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` but for the rows whose doc_id stands in ``gone`` (column doc_id, read twice); null ids stay.
+
+    Few ids are broadcast; beyond ``broadcast_rows`` the anti-join shuffles.
+    """
+    gone = gone.select("doc_id").where("doc_id is not null").distinct()
+    small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, n_rows: int) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in no task more than a part of a group.
 

@@ -258,11 +258,11 @@ class ToxicityModel:
         weights, intercept = _fit(data, len(features))
         return ToxicityModel(lm, features, weights, intercept)
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with score (0 to 1); null texts are empty ones."""
+    def score(self, docs: DataFrame, out: str = "score") -> DataFrame:
+        """``docs`` with the score (0 to 1) as column ``out``, which replaces one of that name; null texts are empty ones."""
         ship(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.lm, self.features, self.weights, self.intercept))
-        names = [c for c in docs.columns if c != "score"]
+        names = [c for c in docs.columns if c != out]
         docs = docs.select(names)
 
         def scored(batches):
@@ -271,9 +271,9 @@ class ToxicityModel:
             for b in _texts(batches):
                 z = [intercept + sum(weights[f] for f in sorted(cache.of(t or ""))) for t in b.column("text").to_pylist()]
                 s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
-        return docs.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double")
+        return docs.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
