@@ -1,8 +1,66 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes a stage's
+rows as Parquet to the shared folder and reads them again, so a lost executor never repeats earlier stages. All stages
+but the last return the columns of documents. Null and empty texts pass the filters; empty tables pass as such.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packlens.llm import decontam, jaccard, line_dedup, packing, toxicity
+from packlens.llm.common import Scratch, table, without
+from packlens.llm.queries import BPE, MIN_SITES
+
+#: SQL can't express tokenisers, trained models and similarity joins: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5 stay."""
+    model = toxicity.ToxicityModel.train(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, "_toxicity").where("_toxicity < 0.5").select(docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose cross-site boilerplate; documents of which nothing is left go. n_chars follows the text."""
+    clean = line_dedup.dedup_lines(docs, MIN_SITES)
+    clean = clean.where("n_removed = 0 or trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each linked group stays."""
+    groups = Scratch(spark).write(jaccard.similar_documents(docs))
+    return without(docs, groups.where("component_id <> doc_id")).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    leaks = Scratch(spark).write(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), 10))
+    return without(docs, leaks.where("contaminated")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, BPE, 2048)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return docs
