@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+#: Modules that register queries when they are imported.
+MODULES = ("operators.analytics", "operators.relational")
+
+
 def _load() -> None:
-    pass
+    for m in MODULES:
+        import_module(f"packlens.{m}")
 
 
 def queries() -> dict[str, Query]:
@@ -41,4 +47,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return queries()["a8_by_brand"](spark, sf_dir)
