@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries when they are imported.
-MODULES = ("operators.analytics", "operators.relational", "functions.scalars", "operators.matching", "operators.rules", "operators.chain", "operators.retrieval", "operators.extraction", "sources.readers", "streaming.events")
+MODULES = ("operators.analytics", "operators.relational", "functions.scalars", "operators.matching", "operators.rules", "operators.chain", "operators.retrieval", "operators.extraction", "operators.imperative", "sources.readers", "streaming.events")
 
 
 def _load() -> None:
