@@ -89,4 +89,31 @@ ORACLE_SQL = {
                      row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS n
               FROM s LEFT JOIN r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1""",
+    "op1_line_dedup": f"""
+        WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT *, trim(line, ' ') AS key FROM l),
+        s AS (SELECT key, count(DISTINCT site) AS sites FROM k WHERE key <> '' GROUP BY key),
+        m AS (SELECT k.*, s.sites, row_number() OVER (PARTITION BY k.key ORDER BY doc_id, pos) AS place FROM k LEFT JOIN s ON s.key = k.key),
+        g AS (SELECT doc_id, pos, line, key, coalesce(sites >= {MIN_SITES}, false) AND place > 1 AS gone FROM m),
+        t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, CAST(count_if(key <> '') AS INTEGER) AS n_lines, CAST(count_if(gone) AS INTEGER) AS n_removed FROM g GROUP BY doc_id)
+        SELECT d.doc_id, t.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '{decontam.WORD}'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '{decontam.WORD}') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0) x),
+        dw AS (SELECT doc_id, i AS a, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS k FROM (SELECT d.doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM win) z) x),
+        hit AS (SELECT DISTINCT doc_id, a, dw.size, item_id FROM dw JOIN win ON win.k = dw.k AND win.size = dw.size),
+        cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(a, a + size)) AS p FROM hit) x GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) x GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, c.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN cover c ON c.doc_id = d.doc_id LEFT JOIN named i ON i.doc_id = d.doc_id""",
+    "op9_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0) x),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(node, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT t.b, r.seen FROM r JOIN both_ t ON t.a = r.node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id""",
 }
