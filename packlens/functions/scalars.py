@@ -43,7 +43,7 @@ def indic(d: Dialect) -> str:
 statement("x1_normalise_digits", lambda d: f"SELECT id, translate(text, '{FROM_DIGITS}', '{TO_DIGITS}') AS digits FROM ({indic(d)}) t")
 statement("x2_other_digits", lambda d: f"SELECT id, text <> translate(text, '{FROM_DIGITS}', '{TO_DIGITS}') AS other FROM ({indic(d)}) t")
 statement("x3_parse_quantity", lambda d: f"SELECT id, value, unit, base FROM ({parsed(d)}) p")
-statement("x4_all_quantities", lambda d: f"SELECT id, q FROM (SELECT id, {'explode(regexp_extract_all(lower(text), ' + d.pattern(QUANTITY) + ', 0))' if d.spark else 'unnest(regexp_extract_all(lower(text), ' + d.pattern(QUANTITY) + ', 0))'} AS q FROM ({LISTING}) l) t")
+statement("x4_all_quantities", lambda d: f"SELECT id, q FROM (SELECT id, {d.matches('lower(text)', QUANTITY)} AS q FROM ({LISTING}) l) t")
 statement("x5_parse_amount", lambda d: f"SELECT id, CAST(nullif(replace({d.extract('text', AMOUNT, 1)}, ',', ''), '') AS DOUBLE) AS amount FROM ({LISTING}) l")
 statement("x6_compare_to_limit", lambda d: f"SELECT id, CASE WHEN dimension = 'mass' THEN base > 500 END AS over_limit, CASE WHEN dimension = 'mass' THEN NOT base > 500 END AS within_limit FROM ({parsed(d)}) p")
 statement("x7_prescribed_unit", lambda d: f"SELECT id, CASE WHEN unit = 'kg' AND value < 1 THEN 'g' WHEN unit = 'l' AND value < 1 THEN 'ml' WHEN unit = 'g' AND value >= 1000 THEN 'kg' WHEN unit = 'ml' AND value >= 1000 THEN 'l' ELSE unit END AS prescribed FROM ({parsed(d)}) p")
@@ -56,12 +56,13 @@ statement(
     lambda d: f"SELECT id, y + CASE WHEN y < 100 THEN 2000 ELSE 0 END AS y, m, dd FROM (SELECT id, CAST({d.extract('text', DATE, 3)} AS INT) AS y, CAST({d.extract('text', DATE, 2)} AS INT) AS m, CAST({d.extract('text', DATE, 1)} AS INT) AS dd FROM ({DATED.format('s', 'STRING' if d.spark else 'VARCHAR')}) t) p",
 )
 statement("x11_swap_dates", lambda d: "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_shipdate < o_orderdate THEN l_shipdate ELSE o_orderdate END AS made, CASE WHEN l_shipdate < o_orderdate THEN o_orderdate ELSE l_shipdate END AS expires FROM <lineitem> JOIN <orders> ON l_orderkey = o_orderkey")
-statement("x12_camel_case", lambda d: f"SELECT p_partkey, {d.replace('concat(' + chr(39) + 'NetWeight' + chr(39) + ', p_type)', '([a-z])([A-Z])', '$1 $2' if d.spark else chr(92) + '1 ' + chr(92) + '2')} AS spaced FROM <part>")
+statement("x12_camel_case", lambda d: f"""SELECT p_partkey, {d.replace("concat('NetWeight', p_type)", "([a-z])([A-Z])", "$1 $2" if d.spark else r"\1 \2")} AS spaced FROM <part>""")
 statement("x13_address_likeness", lambda d: f"SELECT id, score, score >= 2 AS address FROM (SELECT s_suppkey AS id, CAST({d.rlike('a', '[0-9]{6}')} AS INT) + CAST({d.rlike('a', '(?i)road|street|nagar')} AS INT) + least(CAST({d.rlike('a', 'Plot')} AS INT) + CAST({d.rlike('a', 'Dist')} AS INT), 2) AS score FROM (SELECT s_suppkey, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'Plot 4, MG Road, ' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Dist Khordha ' ELSE 'Pin ' END, 751000 + s_suppkey) AS a FROM <supplier>) t) u")
 statement("x14_fold", lambda d: f"SELECT doc_id, {d.replace('lower(text)', '[^a-z0-9]+', ' ')} AS folded FROM <documents>")
 statement("x15_word_containment", lambda d: f"SELECT doc_id, contains(concat(' ', {d.replace('lower(text)', '[^a-z0-9]+', ' ')}, ' '), ' the ') AS has_word FROM <documents>")
 statement("x16_script", lambda d: f"SELECT doc_id, length({d.replace('text', '[^A-Za-z]', '')}) AS ascii_letters, length({d.replace('text', '[^À-ÿ]', '')}) AS accented, CASE WHEN length({d.replace('text', '[^À-ÿ]', '')}) * 20 > length({d.replace('text', '[^A-Za-z]', '')}) THEN 'accented' ELSE 'plain' END AS script FROM <documents>")
-statement("x17_legible_fraction", lambda d: f"SELECT doc_id, coalesce(avg(CAST(CASE WHEN length({d.replace('line', '[^A-Za-z]', '')}) >= 3 OR length({d.replace('line', '[^0-9]', '')}) >= 2 THEN 1 ELSE 0 END AS DOUBLE)), 1.0) AS legible FROM (SELECT doc_id, {'explode(split(text, ' + chr(39) + chr(92) * 2 + 'n' + chr(39) + '))' if d.spark else 'unnest(string_split(text, chr(10)))'} AS line FROM <documents>) l GROUP BY doc_id")
+LEGIBLE = "CASE WHEN length({0}) >= 3 OR length({1}) >= 2 THEN 1 ELSE 0 END"
+statement("x17_legible_fraction", lambda d: f"SELECT doc_id, coalesce(avg(CAST({LEGIBLE.format(d.replace('line', '[^A-Za-z]', ''), d.replace('line', '[^0-9]', ''))} AS DOUBLE)), 1.0) AS legible FROM (SELECT doc_id, {d.lines('text')} AS line FROM <documents>) l GROUP BY doc_id")
 statement("x19_quote_window", lambda d: f"SELECT id, substr(text, greatest(1, place - 8), 48) AS quote FROM (SELECT id, text, {'instr' if d.spark else 'strpos'}(text, 'MRP') AS place FROM ({LISTING}) l) t")
 BOXES = "SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, l_suppkey AS s, l_quantity AS ax, l_tax * 100 AS ay, 20.0 AS aw, 10.0 AS ah, 25.0 AS bx, 4.0 AS byy, 15.0 AS bw, 12.0 AS bh FROM <lineitem>"
 SHARED = "greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, byy + bh) - greatest(ay, byy))"
@@ -79,7 +80,7 @@ statement("x28_softmax", lambda d: f"SELECT l_orderkey, l_linenumber, l_partkey,
 DAYS = "CASE o_orderpriority WHEN '1-URGENT' THEN 1095 WHEN '2-HIGH' THEN 365 WHEN '3-MEDIUM' THEN 180 ELSE 90 END"
 statement("x29_retention", lambda d: f"SELECT o_orderkey, {d.plus_days('CAST(o_orderdate AS DATE)', DAYS)} AS expires, {d.plus_days('CAST(o_orderdate AS DATE)', '90')} AS downscale FROM <orders>")
 statement("x30_storage_plan", lambda d: "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount = 0 THEN 'repeat' WHEN l_tax = 0 THEN 'text' WHEN l_quantity < 3 THEN 'no package' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'inconclusive' WHEN l_returnflag = 'R' THEN 'adverse' ELSE 'compliant' END AS storage_plan FROM <lineitem>")
-statement("x31_object_key", lambda d: f"SELECT o_orderkey, concat({'date_format(o_orderdate, ' + chr(39) + 'yyyy/MM/dd' + chr(39) + ')' if d.spark else 'strftime(o_orderdate, ' + chr(39) + '%Y/%m/%d' + chr(39) + ')'}, '/', o_orderkey, '.jpg') AS object_key FROM <orders>")
+statement("x31_object_key", lambda d: f"""SELECT o_orderkey, concat({"date_format(o_orderdate, 'yyyy/MM/dd')" if d.spark else "strftime(o_orderdate, '%Y/%m/%d')"}, '/', o_orderkey, '.jpg') AS object_key FROM <orders>""")
 statement("x32_sha256", lambda d: f"SELECT doc_id, {d.sha256('text')} AS digest FROM <documents>")
 statement("x33_geo_truncation", lambda d: f"SELECT c_custkey, {d.round('c_acctbal / 97', 2)} AS lat FROM <customer>")
 statement("x34_digits_only", lambda d: f"SELECT id, {d.replace('text', '[^0-9]', '')} AS digits FROM ({LISTING}) l")

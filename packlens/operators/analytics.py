@@ -159,5 +159,5 @@ statement("a30_exact_duplicate_groups", lambda d: f"SELECT {d.sha256('text')} AS
 statement("a31_distinct_low", lambda d: f"SELECT count(*) AS groups, sum(n) - sum(n - 1) AS distinct_low FROM (SELECT count(*) AS n FROM <documents> GROUP BY {d.sha256('text')}) g")
 statement("a32_target_tracker", lambda d: f"{with_facts(d)} SELECT t.name, t.target, CASE t.name WHEN 'scans' THEN n WHEN 'skus' THEN k END AS value, CASE t.name WHEN 'scans' THEN n >= target WHEN 'skus' THEN k >= target END AS met FROM (SELECT count(*) AS n, count(DISTINCT sku_id) AS k FROM facts) f CROSS JOIN (VALUES ('scans', 10000), ('skus', 5000), ('frames', 40)) t(name, target)")
 statement("a33_version_merge", lambda d: f"SELECT l_orderkey AS scan_id, {d.joined('l_returnflag', 'l_returnflag', ' | ', distinct=True)} AS versions FROM <lineitem> GROUP BY l_orderkey")
-statement("a34_word_frequency", lambda d: f"SELECT word, count(*) AS n FROM (SELECT {'explode(regexp_extract_all(lower(text), ' + chr(39) + '[a-z]+' + chr(39) + ', 0))' if d.spark else 'unnest(regexp_extract_all(lower(text), ' + chr(39) + '[a-z]+' + chr(39) + '))'} AS word FROM <documents>) w GROUP BY word")
+statement("a34_word_frequency", lambda d: f"SELECT word, count(*) AS n FROM (SELECT {d.matches('lower(text)', '[a-z]+')} AS word FROM <documents>) w GROUP BY word")
 statement("a35_job_progress", lambda d: "SELECT user_id AS job, count(*) AS total, count_if(event_type = 'purchase') AS completed, count_if(event_type = 'error') AS failed, count_if(event_type IN ('purchase', 'error')) >= count(*) AS finished, CASE WHEN count_if(event_type IN ('purchase', 'error')) >= count(*) THEN CASE WHEN count_if(event_type = 'error') > 0 THEN 'finished with errors' ELSE 'finished' END ELSE 'running' END AS state FROM <events> GROUP BY user_id")

@@ -26,7 +26,8 @@ statement("e2_classify_line", lambda d: f"SELECT id, line, {classified(d)} AS fi
 statement("e3_other_naming", lambda d: f"SELECT doc_id, CASE WHEN {at(d, 'text', 'licensed')} IS NOT NULL THEN 'licence' WHEN {at(d, 'text', 'store in')} IS NOT NULL THEN 'storage' WHEN {at(d, 'text', 'ingredients')} IS NOT NULL THEN 'ingredients' ELSE 'other' END AS kind FROM <documents>")
 statement("e4_confidence", lambda d: "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0.88 * greatest(l_discount * 10, 0.1) AS confidence FROM <lineitem>")
 statement("e5_weak_evidence", lambda d: f"SELECT id, score, score >= 2 AS named FROM (SELECT id, CASE WHEN {at(d, 'text', 'mrp')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {at(d, 'text', 'rs.')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {at(d, 'text', 'taxes')} IS NULL THEN 0 ELSE 1 END AS score FROM ({LINES}) l) t")
-statement("e6_commodity_lexicon", lambda d: f"SELECT p_partkey, CASE {' '.join(f'WHEN contains(concat({chr(39)} {chr(39)}, p_name, {chr(39)} {chr(39)}), {chr(39)} {c} {chr(39)}) THEN {chr(39)}{c}{chr(39)}' for c in sorted(COMMODITIES, key=lambda c: (-len(c), c)))} END AS commodity FROM <part>")
+LEXICON = " ".join(f"WHEN contains(concat(' ', p_name, ' '), ' {c} ') THEN '{c}'" for c in sorted(COMMODITIES, key=lambda c: (-len(c), c)))
+statement("e6_commodity_lexicon", lambda d: f"SELECT p_partkey, CASE {LEXICON} END AS commodity FROM <part>")
 statement("e12_contradictions", lambda d: "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n > 1 AS withdrawn FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM <lineitem>) t")
 BOX = "SELECT l_orderkey AS f, l_linenumber AS i, l_partkey AS p, l_suppkey AS s, l_quantity AS x, l_tax * 500 AS y FROM <lineitem>"
 statement("e13_marker_exclusion", lambda d: f"WITH b AS ({BOX}) SELECT a.f, a.i, a.p, a.s FROM b a LEFT JOIN (SELECT DISTINCT o.f, o.i, o.p, o.s FROM b o JOIN b m ON m.f = o.f AND m.i = 7 AND o.i <> 7 AND abs(o.x - m.x) < 8 AND abs(o.y - m.y) < 8) h ON h.f = a.f AND h.i = a.i AND h.p = a.p AND h.s = a.s WHERE h.f IS NULL AND a.i <> 7")

@@ -51,13 +51,13 @@ statement("f7_status_fail", lambda d: f"{with_facts(d)} SELECT scan_id FROM fact
 statement("f7_status_pass", lambda d: f"{with_facts(d)} SELECT scan_id FROM facts WHERE conclusive AND NOT non_compliant")
 statement("f8_barcode", lambda d: "SELECT p_partkey, concat('890', lpad(CAST(p_partkey AS STRING), 9, '0')) AS barcode FROM <part> WHERE concat('890', lpad(CAST(p_partkey AS STRING), 9, '0')) = '890000000017'" if d.spark else "SELECT p_partkey, concat('890', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS barcode FROM <part> WHERE concat('890', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) = '890000000017'")
 statement("f9_independent_predicates", lambda d: f"{with_facts(d)} SELECT scan_id FROM facts WHERE scan_id IN (SELECT scan_id FROM verdicts WHERE failure AND severity = 'high') AND scan_id IN (SELECT scan_id FROM verdicts WHERE counts AND rule_id = 'RULE-2') AND needs_review")
-statement("f10_previous_period", lambda d: f"{with_facts(d)} SELECT scan_id FROM facts WHERE CAST(captured_at AS DATE) BETWEEN {d.plus_days(d.plus_days('DATE ' + chr(39) + '1996-01-01' + chr(39), '-1'), '-90')} AND {d.plus_days('DATE ' + chr(39) + '1996-01-01' + chr(39), '-1')} AND district = 'NATION_7'")
+statement("f10_previous_period", lambda d: f"""{with_facts(d)} SELECT scan_id FROM facts WHERE CAST(captured_at AS DATE) BETWEEN {d.plus_days("DATE '1996-01-01'", "-91")} AND {d.plus_days("DATE '1996-01-01'", "-1")} AND district = 'NATION_7'""")
 statement("f13_partial_index", lambda d: f"{with_facts(d)} SELECT scan_id, line, part, supp FROM verdicts WHERE NOT advisory AND suppressed_by IS NULL AND status = 'REVIEW'")
 
 # Joins
 statement("j1_left_outer", lambda d: f"{with_facts(d)} SELECT scan_id, sku_id, brand, category FROM facts")
 statement("j2_semi", lambda d: SEMI.format(facts=with_facts(d), where="status = 'FAIL' AND severity = 'high' AND rule_id = 'RULE-1'"))
-statement("j3_nested_verdicts", lambda d: f"{with_facts(d)} SELECT scan_id, {d.joined('concat(rule_id, ' + chr(39) + '=' + chr(39) + ', status)', 'line, part, supp')} AS verdicts, count(*) AS n FROM verdicts GROUP BY scan_id")
+statement("j3_nested_verdicts", lambda d: f"""{with_facts(d)} SELECT scan_id, {d.joined("concat(rule_id, '=', status)", "line, part, supp")} AS verdicts, count(*) AS n FROM verdicts GROUP BY scan_id""")
 statement("j4_outstanding_reviews", lambda d: f"{with_resolved(d)} SELECT DISTINCT v.scan_id, v.rule_id FROM verdicts v LEFT JOIN resolved r ON r.scan_id = v.scan_id AND r.rule_id = v.rule_id WHERE v.human AND r.scan_id IS NULL")
 statement("j5_pruned_keys", lambda d: "SELECT s_suppkey FROM <supplier> WHERE s_suppkey NOT IN (SELECT l_suppkey FROM <lineitem> WHERE l_returnflag = 'R' AND l_quantity > 49)")
 statement("j6_lookup", lambda d: f"{with_facts(d)} SELECT v.scan_id, v.line, v.part, v.supp, t.clause FROM verdicts v JOIN (VALUES ('Rule 1', '6(1)(a)'), ('Rule 2', '6(1)(b)'), ('Rule 3', '6(1)(c)'), ('Rule 4', '7(2)')) t(rule_ref, clause) ON t.rule_ref = v.rule_ref")
@@ -100,7 +100,7 @@ statement("k8_fusion_order", lambda d: f"WITH {RANKS} SELECT coalesce(l.key, x.k
 statement("k9_percentile_cutoffs", lambda d: f"WITH c AS (SELECT {d.quantile('l_extendedprice', 0.1)} AS a, {d.quantile('l_quantity', 0.2)} AS b FROM <lineitem>) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM <lineitem> CROSS JOIN c WHERE l_extendedprice <= a AND l_quantity <= b")
 
 # Set operations
-statement("u1_union_of_frames", lambda d: f"SELECT conv_id, count(*) AS frames, {d.joined('text', 'turn', chr(92) + 'n')} AS raw_text FROM (SELECT conv_id, turn, text FROM <conversations> WHERE role = 'user' UNION ALL SELECT conv_id, turn, text FROM <conversations> WHERE role <> 'user') f GROUP BY conv_id".replace("\\n", " / "))
+statement("u1_union_of_frames", lambda d: f"SELECT conv_id, count(*) AS frames, {d.joined('text', 'turn', ' / ')} AS raw_text FROM (SELECT conv_id, turn, text FROM <conversations> WHERE role = 'user' UNION ALL SELECT conv_id, turn, text FROM <conversations> WHERE role <> 'user') f GROUP BY conv_id")
 statement("u2_set_difference", lambda d: "SELECT l_partkey AS k, 'both' AS side FROM <lineitem> WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, 'both' FROM <lineitem> WHERE l_returnflag = 'R' UNION ALL (SELECT l_partkey, 'first' FROM <lineitem> WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, 'first' FROM <lineitem> WHERE l_returnflag = 'R')")
 statement("u3_line_set_diff", lambda d: f"SELECT lower(text) AS line FROM <conversations> WHERE conv_id % 2 = 0 EXCEPT SELECT lower(text) FROM <conversations> WHERE conv_id % 2 = 1")
 statement("u4_upsert_then_prune", lambda d: "WITH new AS (SELECT s_suppkey + 5 AS k, s_acctbal AS v FROM <supplier>), old AS (SELECT s_suppkey AS k, 0.0 AS v FROM <supplier>) SELECT k, CAST(v AS DOUBLE) AS v FROM new UNION ALL SELECT k, CAST(v AS DOUBLE) FROM old WHERE k NOT IN (SELECT k FROM new) AND k % 2 = 0")

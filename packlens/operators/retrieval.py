@@ -16,13 +16,8 @@ TERMS = [w for w in dict.fromkeys(QUERY.split()) if w not in STOP and len(w) > 2
 K1, B = 1.2, 0.75
 
 
-def unnested(d: Dialect, x: str) -> str:
-    return f"explode({x})" if d.spark else f"unnest({x})"
-
-
 def tokens(d: Dialect) -> str:
-    words = f"regexp_extract_all(lower(text), '[a-z]+'{', 0' if d.spark else ''})"
-    return f"SELECT doc_id, {unnested(d, words)} AS term FROM <documents>"
+    return f"SELECT doc_id, {d.matches('lower(text)', '[a-z]+')} AS term FROM <documents>"
 
 
 def bm25(d: Dialect) -> str:
@@ -48,7 +43,6 @@ statement("r4_passages", lambda d: f"{bm25(d)}, top AS (SELECT doc_id, score, ro
 statement("r5_query_terms", lambda d: "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TERMS)) + ") q(place, term)")
 statement("r6_plural_equality", lambda d: f"SELECT word, n FROM (SELECT {d.replace('term', '(ies|es|s)$', '')} AS word, count(*) AS n FROM ({tokens(d)}) t GROUP BY 1) u")
 statement("r8_query_coverage", lambda d: f"{bm25(d)} SELECT d.doc_id, CAST(coalesce(matched, 0) AS DOUBLE) / {len(TERMS)} AS coverage FROM <documents> d LEFT JOIN scored s ON s.doc_id = d.doc_id")
-NL = "chr(10)"
 statement("r9_passage_text", lambda d: f"SELECT doc_id, concat(source, ' ', text) AS passage FROM <documents>")
 REFS = "SELECT p_partkey AS id, concat('Rule 6(', p_size % 4, ')(', substr('abcd', p_size % 4 + 1, 1), ')', CASE WHEN p_partkey % 9 = 0 THEN ' read with Rule 7' ELSE '' END) AS citation FROM <part>"
 statement(
@@ -58,7 +52,7 @@ statement(
     SELECT id, p.ref, k.title, coalesce(a.ref, b.ref) AS related, nullif(second, '') AS read_with FROM p LEFT JOIN known k ON k.ref = p.ref LEFT JOIN known a ON a.ref = {d.replace('p.ref', '[(][a-z][)]$', '')} AND k.ref IS NULL LEFT JOIN known b ON b.ref = {d.replace('p.ref', '[(].*$', '')} AND k.ref IS NULL""",
 )
 statement("r15_fold_punctuation", lambda d: "SELECT doc_id, translate(concat(text, '，。：（）'), '，。：；（）', ',.:;()') AS folded FROM <documents>")
-statement("r16_drop_furniture", lambda d: f"SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, {unnested(d, 'split(text, ' + d.pattern(chr(92) + 'n') + ')' if d.spark else 'string_split(text, chr(10))')} AS line FROM <documents>) l WHERE NOT {d.rlike('line', '(?i)^(page [0-9]+|all rights reserved[.]|licensed under .*)$')} GROUP BY doc_id")
+statement("r16_drop_furniture", lambda d: f"SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, {d.lines('text')} AS line FROM <documents>) l WHERE NOT {d.rlike('line', '(?i)^(page [0-9]+|all rights reserved[.]|licensed under .*)$')} GROUP BY doc_id")
 statement("r17_collapse_space", lambda d: f"SELECT doc_id, trim({d.replace('text', '[ \\t\\r\\n]+', ' ')}) AS text FROM <documents>")
 statement("r18_provenance", lambda d: "SELECT doc_id, CASE WHEN n_chars < 400 THEN 'not-read' WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'text-layer' END AS provenance, n_chars >= 400 AND doc_id % 3 <> 0 AS quotable FROM <documents>")
 

@@ -115,7 +115,7 @@ statement("c12_symbol_case", lambda d: f"SELECT id, status, CASE WHEN status = '
 statement("c13_conditional_present", lambda d: one(d, "C13.ORIGIN"))
 statement("g1_applicability", lambda d: f"SELECT id, {gate(d)} AS reason FROM ({labels(d)}) l")
 statement("g2_blocked_rules", lambda d: f"{judged(d)} SELECT l.id, r.rule_id, wholesale AND field NOT IN ('maker', 'net') AS blocked FROM labels l CROSS JOIN rules r")
-statement("g3_evidence_plan", lambda d: f"{judged(d)} SELECT id, {d.joined('field', 'field', ',', where=chr(115) + 'tatus <> ' + chr(39) + 'NOT_APPLICABLE' + chr(39), distinct=True)} AS fields FROM raw GROUP BY id")
+statement("g3_evidence_plan", lambda d: f"""{judged(d)} SELECT id, {d.joined("field", "field", ",", where="status <> 'NOT_APPLICABLE'", distinct=True)} AS fields FROM raw GROUP BY id""")
 statement("g4_requires", lambda d: f"SELECT id, tolerance IS NOT NULL AS has_scale, tier NOT IN ('L3', 'L4') AS readable FROM ({labels(d)}) l")
 statement("g5_suppression", lambda d: f"{judged(d)} SELECT id, rule_id, status, suppressed_by FROM verdicts WHERE suppressed_by IS NOT NULL")
 statement("g6_compliance", lambda d: f"{judged(d)} SELECT id, NOT bool_or(status = 'FAIL') AS compliant FROM verdicts GROUP BY id")
@@ -123,6 +123,6 @@ statement("g7_absence_guard", lambda d: f"SELECT id, {LOCATED} AS located, {UNRE
 statement("g8_category_blockers", lambda d: f"SELECT id, category IN ('PROMO', 'ECONOMY') AS blocked FROM ({labels(d)}) l")
 statement("g9_bilingual_groups", lambda d: f"SELECT l_orderkey AS scan_id, l_linenumber AS field, max(l_quantity) AS tallest, count(*) AS n FROM <lineitem> GROUP BY l_orderkey, l_linenumber")
 statement("g10_text_resolution", lambda d: f"SELECT id, trim(concat(coalesce(net, ''), ' ', coalesce(mrp, ''), ' ', coalesce(maker, ''))) AS searchable, coalesce(nullif(net, ''), maker) AS strict FROM ({labels(d)}) l")
-statement("g11_any_script", lambda d: f"SELECT id, {d.rlike('coalesce(mrp, ' + chr(39) * 2 + ')', '(?i)mrp')} OR {d.rlike('coalesce(net, ' + chr(39) * 2 + ')', 'शुद्ध|Net')} AS any_script FROM ({labels(d)}) l")
+statement("g11_any_script", lambda d: f"""SELECT id, {d.rlike("coalesce(mrp, '')", "(?i)mrp")} OR {d.rlike("coalesce(net, '')", "शुद्ध|Net")} AS any_script FROM ({labels(d)}) l""")
 statement("g12_dangling_references", lambda d: f"{judged(d)} SELECT s.rule_id, s.suppresses FROM suppressors s WHERE s.suppresses NOT IN (SELECT rule_id FROM rules) OR s.rule_id NOT IN (SELECT rule_id FROM rules)")
 statement("rules_engine", lambda d: f"{judged(d)} SELECT id, rule_id, severity, status, suppressed_by, row_number() OVER (PARTITION BY id ORDER BY CASE status WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 WHEN 'NO_DATA' THEN 2 WHEN 'PASS' THEN 3 ELSE 4 END, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, rule_id) AS place FROM verdicts")

@@ -55,6 +55,17 @@ class Dialect:
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)" if self.spark else f"sha256({x})"
 
+    def matches(self, x: str, p: str) -> str:
+        """A row for every match of the pattern."""
+        return f"explode(regexp_extract_all({x}, {self.pattern(p)}, 0))" if self.spark else f"unnest(regexp_extract_all({x}, {self.pattern(p)}))"
+
+    def parts(self, x: str, at: str) -> str:
+        """A row for every part between the separators; the separator holds no regular expression."""
+        return f"explode(split({x}, '{at}'))" if self.spark else f"unnest(string_split({x}, '{at}'))"
+
+    def lines(self, x: str) -> str:
+        return f"explode(split({x}, chr(10)))" if self.spark else f"unnest(string_split({x}, chr(10)))"
+
     def days(self, a: str, b: str) -> str:
         return f"datediff({a}, {b})" if self.spark else f"date_diff('day', {b}, {a})"
 

@@ -12,7 +12,7 @@ from packlens.plans.lineage import folder
 from packlens.plans.registry import query
 from packlens.sources.facts import with_facts
 
-statement("s5_json_documents", lambda d: f"SELECT event_id, {'CAST(get_json_object(props, ' + chr(39) + '$.k' + chr(39) + ') AS BIGINT)' if d.spark else 'CAST(json_extract(props, ' + chr(39) + '$.k' + chr(39) + ') AS BIGINT)'} AS k FROM <events>")
+statement("s5_json_documents", lambda d: f"SELECT event_id, CAST({'get_json_object' if d.spark else 'json_extract'}(props, '$.k') AS BIGINT) AS k FROM <events>")
 
 
 def _path(spark: SparkSession, kind: str) -> str:
@@ -73,7 +73,11 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="scan_id long, sku_id string").fillna("", ["sku_id"])
 
 
-statement("d7_paged_json", lambda d: f"WITH rows_ AS (SELECT o_orderkey FROM <orders> ORDER BY o_orderkey LIMIT 20 OFFSET 40), n AS (SELECT count(*) AS total FROM <orders>) SELECT concat('{{\"total\":', max(total), ',\"limit\":20,\"offset\":40,\"rows\":[', {d.joined('concat(' + chr(39) + '{' + chr(34) + 'id' + chr(34) + ':' + chr(39) + ', o_orderkey, ' + chr(39) + '}' + chr(39) + ')', 'o_orderkey', ',')}, ']}}') AS envelope FROM rows_ CROSS JOIN n")
+statement(
+    "d7_paged_json",
+    lambda d: f"""WITH page AS (SELECT o_orderkey FROM <orders> ORDER BY o_orderkey LIMIT 20 OFFSET 40), n AS (SELECT count(*) AS total FROM <orders>)
+    SELECT concat('{{"total":', max(total), ',"limit":20,"offset":40,"rows":[', {d.joined("""concat('{"id":', o_orderkey, '}')""", "o_orderkey", ",")}, ']}}') AS envelope FROM page CROSS JOIN n""",
+)
 statement("d8_summary_tables", lambda d: f"{with_facts(d)} SELECT 'district' AS section, district AS name, count(*) AS scans, count_if(non_compliant) AS non_compliant FROM facts GROUP BY district UNION ALL SELECT 'category', category, count(*), count_if(non_compliant) FROM facts GROUP BY category")
 statement("d9_report_model", lambda d: f"{with_facts(d)} SELECT scan_id, status, count(*) AS findings, {d.joined('rule_id', 'line, part, supp', ',')} AS rules FROM verdicts WHERE counts GROUP BY scan_id, status")
 statement("d11_latest_correction", lambda d: f"SELECT user_id, {'max_by(event_type, event_id)' if d.spark else 'arg_max(event_type, event_id)'} AS latest, count(DISTINCT event_type) AS kinds FROM <events> GROUP BY user_id")
