@@ -19,9 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = scratch.write(_proper(edges))
     mark = _mark(now)
     while mark[0]:
-        large = scratch.write(_star(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True))
+        large = _star(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
         small = scratch.write(_star(large, larger=False))
-        scratch.drop(now, large)
+        scratch.drop(now)
         now, (mark, last) = small, (_mark(small), mark)
         if mark == last:
             break

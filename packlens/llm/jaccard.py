@@ -3,15 +3,19 @@
 1. Each text becomes the sorted 64-bit hashes of its distinct shingles. Texts with one set are a class and
    go on as one.
 2. Two sets of similarity 0.8 share at least T = ceil(0.8 n) shingles, so among their n - T + k lowest hashes they
-   share k (k = n // 20, at least 1). Only those postings are shuffled and counted; classes with too few
+   share k (k = n // SHARE, at least 1). Only those postings are shuffled and counted; classes with too few
    postings in common with any other class are done.
 3. Of the others' shared postings the rarest are kept, all but the k' - 1 most frequent (k' is the least k that a
-   partner may have): linked classes still meet in one. What meets, directly or through others, is a block.
-4. In a block, every class searches the earlier ones: inverted lists are divided by DivideSkip, the short ones
-   are merged on a heap with skips, candidates are probed in the long ones by binary search, and those with the
-   required overlap are linked. Blocks of more than BLOCK_SHINGLES are cut into chunks, and every pair of chunks
-   is searched: a task's work is bounded, no link is lost. A link inside a component that is known already isn't
-   looked for again, so groups of near copies cost about one comparison a member.
+   partner may have): linked classes still meet in one. Each class follows the leader (the least class of a
+   posting) that it meets most often, and a leader is searched with its followers. That joins large groups of
+   near copies at the cost of one visit a member.
+4. Postings whose classes are all joined by now are dropped, and classes left with too few are done. What still
+   meets, directly or through others, is a block; blocks of more than BLOCK_SHINGLES are cut into chunks,
+   and every pair of chunks is searched: a task's work is bounded, and no link is lost.
+
+A search goes through the classes by size; each searches the earlier ones: inverted lists are divided by
+DivideSkip, the short ones are merged on a heap with skips, candidates are probed in the long ones by binary search,
+and those with the required overlap are linked. Links inside a component that is known already aren't looked for again.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from packlens.llm.common import Scratch, ship
 from packlens.llm.components import connected_components
 
 SHINGLE = 5
+#: A set of n shingles is expected to share n // SHARE more of its lowest hashes than linking needs.
+SHARE = 20
 #: Shingles of a chunk of a block; ids up to which the texts of blocks are picked by a broadcast.
 BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
 #: Texts handled at once, distinct words whose hashes a worker keeps, weight of a probe in DivideSkip.
@@ -72,7 +78,7 @@ def _least(n: int) -> int:
 
 
 def _shared(n: int) -> int:
-    return max(1, n // 20)
+    return max(1, n // SHARE)
 
 
 def _prefix(n: int) -> int:
@@ -165,10 +171,10 @@ class Index:
                     heapq.heappush(heap, (x[i], k, i))
 
 
-def link_unit(sets: list[tuple[int, np.ndarray, int]], across: bool) -> list[tuple[int, int]]:
-    """Links (name, name) that connect what is connected among ``sets`` (name, sorted hashes, side).
+def link_unit(sets: list[tuple[int, np.ndarray, int]], across: bool, head: int | None = None) -> list[tuple[int, int]]:
+    """(name, root) for what is connected among ``sets`` (name, sorted hashes, side) to another name.
 
-    ``across``: only links between side 0 and side 1 count.
+    ``across``: only links between side 0 and side 1 count. The root of its component is ``head``, else the least name.
     """
     root: dict[int, int] = {name: name for name, _, _ in sets}
     arrays = {name: s for name, s, _ in sets}
@@ -179,14 +185,12 @@ def link_unit(sets: list[tuple[int, np.ndarray, int]], across: bool) -> list[tup
             x = root[x]
         return x
 
-    links = []
     giant, recent = None, {0: [], 1: []}  # the first component that grew, and its last members by side
     indexes = {(side, big): Index() for side in (0, 1) for big in (False, True)}
 
     def link(a: int, b: int) -> None:
-        links.append((a, b))
-        ra, rb = find(a), find(b)
         nonlocal giant
+        ra, rb = find(a), find(b)
         if giant is None:
             giant = min(ra, rb)
         if rb == giant:
@@ -223,7 +227,10 @@ def link_unit(sets: list[tuple[int, np.ndarray, int]], across: bool) -> list[tup
         indexes[side, inside].add(name, tokens)
         if inside:
             recent[side] = [*recent[side][-1:], name]
-    return links
+    heads: dict[int, int] = {}
+    for name in sorted(root, key=lambda x: (x != head, x)):
+        heads.setdefault(find(name), name)
+    return [(name, heads[find(name)]) for name in root if heads[find(name)] != name]
 
 
 def _linked(batches):
@@ -231,7 +238,7 @@ def _linked(batches):
     unit, sets = None, []
 
     def done():
-        return link_unit(sets, unit[1] != unit[2]) if len(sets) > 1 else []
+        return link_unit(sets, unit[1] != unit[2], unit[0]) if len(sets) > 1 else []
 
     for b in batches:
         links = []
@@ -263,44 +270,80 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     signs = scratch.write(texts.mapInArrow(_signatures, "doc_id long, n long, fp long, tokens array<long>"))
-    real = signs.where("doc_id is not null and fp is not null")
+    slim = signs.select("doc_id", "n", "fp")
+    known = "doc_id is not null and fp is not null"
 
-    # Classes whose prefixes share tokens with other classes, and the rarest of those tokens.
-    postings = real.select("fp", "n", F.explode("tokens").alias("token"))
+    # Classes whose prefixes share tokens with other classes.
+    postings = signs.where(known).select("fp", F.explode("tokens").alias("token"))
     token = postings.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("df")).where("a <> b").select("token", "df")
-    shared = postings.join(token, "token").groupBy("fp", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
-    least = F.floor((4 * F.col("n") + 4) / 5)
-    most = F.greatest(F.lit(1), F.floor(least / 20)) - 1
-    kept = shared.where(F.size("tokens") > most).select("fp", "n", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - most).cast("int"))).alias("t"))
-    kept = scratch.write(kept.select("fp", "n", F.col("t.token").alias("token")))
+    meeting = postings.join(token, "token").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    first = slim.where(known).groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    shared = scratch.write(_enough(meeting.join(first, "fp")))
+
+    # Each class with the leader that it meets most often.
+    kept = _rarest(shared)
+    heads = kept.groupBy("token").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last").select("token", "head")
+    met = kept.join(heads, "token").where("fp <> head").groupBy("fp", "head").agg(F.count(F.lit(1)).alias("k"))
+    follow = scratch.write(met.groupBy("fp").agg(F.max(F.struct("k", "head"))["head"].alias("block")).join(shared.select("fp", "n"), "fp"))
+    parts = follow.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
+    members = follow.join(parts, "block").select("fp", "block", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("i"))
+    leaders = parts.select(F.col("block").alias("fp"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"))
+    units = members.union(leaders).select("fp", "block", "i", F.col("i").alias("j"), F.lit(0).alias("side"))
+    links = _search(scratch, texts, first, units)
+
+    # What still meets across components goes to blocks.
+    label = links.groupBy("u").agg(F.min("v").alias("v"))
+    further = label.join(label.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select(F.col("u").alias("fp"), F.coalesce("w", "v").alias("label"))
+    open_ = shared.select("fp", "n", "doc_id", F.explode("tokens").alias("t")).join(further, "fp", "left").select("fp", "n", "doc_id", "t", F.coalesce("label", "fp").alias("label"))
+    across = open_.groupBy(F.col("t.token").alias("token")).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    rest = open_.join(across, F.col("t.token") == F.col("token"), "left_semi").groupBy("fp", "n", "doc_id").agg(F.sort_array(F.collect_list("t")).alias("tokens"))
+    kept = scratch.write(_rarest(_enough(rest)))
     meet = kept.groupBy("token").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("token", "v")
     blocks = connected_components(kept.join(meet, "token").select(F.col("fp").alias("u"), "v"))
-
-    # Blocks, cut into chunks where they are large, and the pairs of chunks that are searched.
-    sizes = kept.select("fp", "n").distinct()
-    placed = blocks.select(F.col("node").alias("fp"), F.col("root").alias("block")).join(sizes, "fp")
+    placed = blocks.select(F.col("node").alias("fp"), F.col("root").alias("block")).join(shared.select("fp", "n"), "fp")
     total = placed.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
-    placed = placed.join(total, "block").select("fp", "block", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("c"), "chunks")
-    first = real.select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.write(placed.join(first, "fp").withColumnRenamed("fp", "want"))
-    n = wanted.count()
-    picked = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id")
-    sets = picked.mapInArrow(_sets, "fp long, block long, c long, chunks long, data binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    units = sets.select("*", other.alias("o"))
-    units = units.select("block", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side"), "fp", "data")
-    links = scratch.write(units.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_linked, "u long, v long"))
+    placed = placed.join(total, "block").select("fp", "block", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
+    units = placed.select("fp", "block", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side"))
+    links = links.union(_search(scratch, texts, first, units))
 
     roots = scratch.write(connected_components(links))
-    classes = first.join(roots.withColumnRenamed("node", "fp"), "fp")
+    classes = first.select("fp", "doc_id").join(roots.withColumnRenamed("node", "fp"), "fp")
     named = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
     grouped = scratch.write(classes.join(named, "root").select("fp", "least"))
+    first = first.drop("n")
     alone = first.select("fp", F.col("doc_id").alias("own"))
     final = alone.join(grouped, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "own").alias("component_id"))
-    out = signs.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(final, F.col("fp") == F.col("_fp"), "left")
+    out = slim.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(final, F.col("fp") == F.col("_fp"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _enough(classes: DataFrame) -> DataFrame:
+    """Classes (fp, n, tokens of struct(df, token) from the rarest) with as many tokens as any partner needs."""
+    return classes.where(F.size("tokens") >= _partners())
+
+
+def _partners():
+    least = F.floor((4 * F.col("n") + 4) / 5)
+    return F.greatest(F.lit(1), F.floor(least / SHARE))
+
+
+def _rarest(classes: DataFrame) -> DataFrame:
+    """(fp, token): all but the most frequent tokens, so many that linked classes still meet in one."""
+    kept = F.slice("tokens", F.lit(1), (F.size("tokens") - _partners() + 1).cast("int"))
+    return classes.select("fp", F.explode(kept).alias("t")).select("fp", F.col("t.token").alias("token"))
+
+
+def _search(scratch: Scratch, texts: DataFrame, first: DataFrame, units: DataFrame) -> DataFrame:
+    """Links (u, v) found in ``units`` (fp, block, i, j, side): the rows of one (block, i, j) are searched by one task."""
+    listed = units.groupBy("fp").agg(F.collect_list(F.struct("block", "i", "j", "side")).alias("units"))
+    wanted = scratch.write(listed.join(first.select("fp", "doc_id"), "fp").withColumnRenamed("fp", "want"))
+    picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+    kind = dict(wanted.dtypes)["units"]
+    sets = picked.mapInArrow(_sets, f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
+    ordered = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return scratch.write(ordered.mapInArrow(_linked, "u long, v long"))
+
+
 def _sets(batches):
     for whole in batches:
         for i in range(0, whole.num_rows, TEXTS):
@@ -309,4 +352,4 @@ def _sets(batches):
             want = b.column("want").to_pylist()
             fit = [k for k, s in enumerate(sets) if len(s) and _signed(xxhash.xxh64_intdigest(s.tobytes())) == want[k]]  # another text may have the doc_id
             at = pa.array(fit, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("want").take(at), *(b.column(c).take(at) for c in ("block", "c", "chunks")), pa.array([sets[k].tobytes() for k in fit], pa.binary())], ["fp", "block", "c", "chunks", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("want").take(at), b.column("units").take(at), pa.array([sets[k].tobytes() for k in fit], pa.binary())], ["fp", "units", "data"])
