@@ -35,7 +35,7 @@ from packlens.llm.components import connected_components
 
 SHINGLE = 5
 #: A set of n shingles is expected to share n // SHARE more of its lowest hashes than linking needs.
-SHARE = 20
+SHARE = 8
 #: Shingles of a chunk of a block; ids up to which the texts of blocks are picked by a broadcast.
 BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
 #: Texts handled at once, distinct words whose hashes a worker keeps, weight of a probe in DivideSkip.
@@ -270,7 +270,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     signs = scratch.write(texts.mapInArrow(_signatures, "doc_id long, n long, fp long, tokens array<long>"))
-    slim = signs.select("doc_id", "n", "fp")
+    slim = scratch.write(signs.select("doc_id", "n", "fp"))
     known = "doc_id is not null and fp is not null"
 
     # Classes whose prefixes share tokens with other classes.
@@ -279,6 +279,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     meeting = postings.join(token, "token").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
     first = slim.where(known).groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     shared = scratch.write(_enough(meeting.join(first, "fp")))
+    scratch.drop(signs)
 
     # Each class with the leader that it meets most often.
     kept = _rarest(shared)
