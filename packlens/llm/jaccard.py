@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import Scratch, ship
+from packlens.llm.common import Scratch, ship, tidied
 from packlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -39,7 +39,7 @@ SHARE = 8
 #: Shingles of a chunk of a block; ids up to which the texts of blocks are picked by a broadcast.
 BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
 #: Texts handled at once, distinct words whose hashes a worker keeps, weight of a probe in DivideSkip.
-TEXTS, WORDS, MU = 64, 1_000_000, 0.0085
+TEXTS, WORDS, MU = 64, 200_000, 0.0085
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -269,7 +269,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signs = scratch.write(texts.mapInArrow(_signatures, "doc_id long, n long, fp long, tokens array<long>"))
+    signs = scratch.write(texts.mapInArrow(tidied(_signatures), "doc_id long, n long, fp long, tokens array<long>"))
     slim = scratch.write(signs.select("doc_id", "n", "fp"))
     known = "doc_id is not null and fp is not null"
 
@@ -340,9 +340,9 @@ def _search(scratch: Scratch, texts: DataFrame, first: DataFrame, units: DataFra
     wanted = scratch.write(listed.join(first.select("fp", "doc_id"), "fp").withColumnRenamed("fp", "want"))
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
     kind = dict(wanted.dtypes)["units"]
-    sets = picked.mapInArrow(_sets, f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
+    sets = picked.mapInArrow(tidied(_sets), f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
     ordered = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return scratch.write(ordered.mapInArrow(_linked, "u long, v long"))
+    return scratch.write(ordered.mapInArrow(tidied(_linked), "u long, v long"))
 
 
 def _sets(batches):

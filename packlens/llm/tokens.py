@@ -26,11 +26,11 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from packlens.llm.common import ship
+from packlens.llm.common import ship, tidied
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Kept results a worker; longer units aren't kept. Chunks of long texts, in characters.
-KEEP, KEEP_CHARS, CHUNK = 500_000, 48, 65_536
+KEEP, KEEP_CHARS, CHUNK = 200_000, 48, 65_536
 TEXTS = 64  # texts handled at once
 
 
@@ -114,7 +114,7 @@ class Ids:
 
 
 class Transducer:
-    MOST = 1_500_000  # transitions kept
+    MOST = 800_000  # transitions kept
 
     def __init__(self, bpe: Bpe):
         self.single = bpe.core._core_bpe.encode_single_piece
@@ -268,7 +268,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -292,4 +292,4 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], b.schema.field("doc_id").type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import Scratch, ship
+from packlens.llm.common import Scratch, ship, tidied
 
 #: Bounds: labelled rows fitted on, features of the model, letters of the language model, kept tokens a worker.
-TRAIN_ROWS, FEATURES, LETTERS, KEEP = 20_000, 4_000, 64, 400_000
+TRAIN_ROWS, FEATURES, LETTERS, KEEP = 20_000, 4_000, 64, 150_000
 #: Documents of a class that a feature must stand in, standard errors its log odds must be away from 0; lengths of
 #: word beginnings.
 LEAST_DOCS, LEAST_ERRORS, STEMS = 3, 3.5, (4, 5)
-TEXTS, FLUSH = 64, 150_000
+TEXTS, FLUSH = 64, 100_000
 
 # What a character may stand for beside itself, and the channel's costs in nats.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s"}
@@ -186,8 +186,8 @@ def _count_trigrams(batches):
 def language_model(docs: DataFrame) -> LanguageModel:
     """Trigrams of the words of all documents. The table of words grows with the corpus and stays on the executors."""
     schema = "word string, n long"
-    words = docs.select("text").mapInArrow(_count_words, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    trigrams = words.mapInArrow(_count_trigrams, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(tidied(_count_words), schema).groupBy("word").agg(F.sum("n").alias("n"))
+    trigrams = words.mapInArrow(tidied(_count_trigrams), schema).groupBy("word").agg(F.sum("n").alias("n"))
     top = trigrams.orderBy(F.desc("n"), "word").limit(LETTERS**3)
     return LanguageModel({r["word"]: r["n"] for r in top.toLocalIterator()})
 
@@ -238,7 +238,7 @@ class ToxicityModel:
                 fs = [sorted(cache.of(t or "")) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fs, pa.list_(pa.string()))], ["y", "fs"])
 
-        seen = scratch.write(rows.mapInArrow(featured, "y int, fs array<string>"))
+        seen = scratch.write(rows.mapInArrow(tidied(featured), "y int, fs array<string>"))
         n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         one, none = n.get(1, 0), n.get(0, 0)
         if not one or not none:
@@ -273,7 +273,7 @@ class ToxicityModel:
                 s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
-        return docs.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double")
+        return docs.mapInArrow(tidied(scored), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
