@@ -93,6 +93,11 @@ statement("m10_bounded_levenshtein", lambda d: f"SELECT a, b, {'levenshtein(x, y
 statement("m11_similarity", lambda d: f"SELECT a, b, {d.round('1 - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y), 1)', 6)} AS similarity FROM ({WORDS}) w")
 statement("m14_severity_bands", lambda d: f"SELECT a, b, CASE WHEN e <= 0.05 THEN 'clean' WHEN e <= 0.2 THEN 'usable' WHEN e <= 0.5 THEN 'corrupt' ELSE 'absent' END AS band FROM (SELECT a, b, CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), 1) AS e FROM ({WORDS}) w) t")
 statement("m15_near_token", lambda d: f"SELECT a, b, bool_or(levenshtein(t, 'metal') <= greatest(1, CAST(floor(length('metal') / 3) AS INT))) AS near FROM (SELECT a, b, {d.parts('x', ' ')} AS t FROM ({WORDS}) w) u GROUP BY a, b")
-statement("m16_squeezed_containment", lambda d: f"SELECT a, b, contains({d.replace('lower(y)', '[^a-z0-9]', '')}, substr({d.replace('lower(x)', '[^a-z0-9]', '')}, 1, 8)) AS inside FROM ({WORDS}) w")
+# The reference's test: any run of 8 characters of the squeezed needle (all of a shorter one), unchecked under 4. The oracle is the given SQL, which looks at the first run alone.
+statement(
+    "m16_squeezed_containment",
+    lambda d: f"SELECT a, b, CASE WHEN length(x) >= 4 THEN exists(sequence(1, greatest(1, length(x) - 7)), i -> contains(y, substr(x, i, 8))) END AS inside FROM (SELECT a, b, {d.replace('lower(x)', '[^a-z0-9]', '')} AS x, {d.replace('lower(y)', '[^a-z0-9]', '')} AS y FROM ({WORDS}) w) s",
+    oracle=lambda d: f"SELECT a, b, contains({d.replace('lower(y)', '[^a-z0-9]', '')}, substr({d.replace('lower(x)', '[^a-z0-9]', '')}, 1, 8)) AS inside FROM ({WORDS}) w",
+)
 statement("m17_grouped_split", lambda d: f"WITH g AS (SELECT source, {d.sha256('source')} AS h, count(*) AS n FROM <documents> GROUP BY source), c AS (SELECT source, sum(n) OVER (ORDER BY h, source) AS upto, sum(n) OVER () AS total FROM g) SELECT d.doc_id, CASE WHEN upto <= 0.2 * total THEN 'val' ELSE 'train' END AS split FROM <documents> d JOIN c ON c.source = d.source")
 statement("m18_leakage", lambda d: "SELECT doc_id FROM <documents> WHERE text IN (SELECT text FROM <benchmark>)")
