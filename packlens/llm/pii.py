@@ -22,13 +22,16 @@ DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./-]\d{2}[./-]\d{4})(?![\d/-]|\.
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, SSN, PHONE, CARD))
+#: A run of digit groups that may hold card numbers of 13 to 19 digits; it ends where another format begins.
+RUN = rf"(?<![\d-])\d(?:(?:[ -](?!(?:{DATE})|(?:{IPV4})|(?:{SSN})|(?:{PHONE})))?\d){{12,398}}(?![\d-])"
+#: How cards are printed: one group, or groups of 4, 4-6-5 and 4-6-4. Such readings of a run go before others.
+PRINTED = r"\d{13,19}|\d{4}([ -])(?:\d{4}\1){2}\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, SSN, PHONE, RUN))
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 
 
 def _kind(m: Column) -> Column:
-    """The format a match has and passes the check of, else null."""
+    """The format a match has and passes the check of, else null; cards are found by ``_pieces``."""
     digits = F.regexp_replace(m, r"\D", "")
     octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
     return (
@@ -37,10 +40,55 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(rf"^(?:{IPV4})$"), F.when(F.forall(octets, lambda x: x <= 255), F.lit("ip")))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
         .when(m.rlike(rf"^(?:{PHONE})$"), F.when(F.length(digits).between(7, 15), F.lit("phone")))
-        .when(m.rlike(rf"^(?:{CARD})$"), F.when(_luhn(digits) % 10 == 0, F.lit("card")))
     )
 
 
+def _pieces(m: Column) -> Column:
+    """A match as an array of (m, kind) that make it up: itself, or for a run of digit groups its cards and what is between.
+
+    Cards are the readings from group to group with 13 to 19 digits that pass the Luhn check; where they overlap, printed
+    forms go first, then the leftmost, then the longest.
+    """
+    whole = F.array(F.struct(m.alias("m"), _kind(m).alias("kind")))
+    groups = F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0))
+    cards = F.transform(F.array(groups), _cards)[0]
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<m:string,kind:string>>").alias("out"))
+
+    def put(a: Column, c: Column) -> Column:
+        gap = F.struct(F.substring(m, a["at"], c["at"] - a["at"]).alias("m"), F.lit(None).cast("string").alias("kind"))
+        card = F.struct(c["m"].alias("m"), F.lit("card").alias("kind"))
+        return F.struct((c["at"] + F.length(c["m"])).alias("at"), F.concat(a["out"], F.array(gap, card)).alias("out"))
+
+    def rest(a: Column) -> Column:
+        return F.concat(a["out"], F.array(F.struct(F.substring(m, a["at"], F.length(m)).alias("m"), F.lit(None).cast("string").alias("kind"))))
+
+    return F.when(m.rlike(r"^\d[\d -]{12,}$") & (F.length(F.translate(m, " -", "")) >= 13), F.aggregate(cards, none, put, rest)).otherwise(whole)
+
+
+def _cards(groups: Column) -> Column:
+    """The cards of a run, given as its groups with the separator after each: (at, m) in order of place."""
+
+    def reading(i: Column, j: Column) -> Column:
+        return F.struct(i.alias("i"), (-j).alias("j"), F.rtrim(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), F.lit(" -")).alias("m"))
+
+    def passes(c: Column) -> Column:
+        digits = F.translate(c["m"], " -", "")
+        return F.when(F.length(digits).between(13, 19), _luhn(digits) % 10 == 0).otherwise(False)
+
+    def placed(c: Column) -> Column:
+        at = F.length(F.array_join(F.slice(groups, F.lit(1), c["i"]), "")) + 1
+        return F.struct((~c["m"].rlike(rf"^(?:{PRINTED})$")).alias("odd"), c["i"], c["j"], at.alias("at"), c["m"])
+
+    def free(taken: Column, c: Column) -> Column:
+        meets = F.exists(taken, lambda t: (c["at"] < t["at"] + F.length(t["m"])) & (t["at"] < c["at"] + F.length(c["m"])))
+        return F.when(meets, taken).otherwise(F.concat(taken, F.array(F.struct(c["at"].alias("at"), c["m"].alias("m")))))
+
+    last = F.size(groups) - 1
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, F.least(i + 18, last)), lambda j: reading(i, j))))
+    best = F.array_sort(F.transform(F.filter(every, passes), placed))
+    return F.array_sort(F.aggregate(best, F.array().cast("array<struct<at:int,m:string>>"), free))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string whose last digit is the check digit."""
     each = F.split(F.reverse(digits), "(?<=.)(?=.)")
@@ -160,7 +208,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in text replaced, and n_pii and n_<kind> (email, date, ip, ssn, phone, card).
 
     A value that looks like a format but fails its check (Luhn, day of the calendar, octets, SSN areas)
-    stays. A null text stays null, with counts 0; an empty one stays empty. Repeated rows get the same text; an
+    stays. Cards are looked for in runs of up to 399 digits; longer runs are read in parts. A null text stays null, with counts 0; an empty one stays empty. Repeated rows get the same text; an
     empty table gives an empty result. Other columns stay; own columns of those names are replaced.
     """
     own = ["n_pii", *[f"n_{k}" for k in KINDS]]
@@ -168,8 +216,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     names = docs.columns
     likely = F.col("text").rlike(r"@|\d[ ).-]?\d[ ).-]?\d|\d\.\d")
     found = docs.select(*names, F.when(likely, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_m"))
-    found = found.select(*names, F.when(F.size("_m") > 0, F.transform("_m", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))).alias("_m"))
-    found = found.select(*names, "_m", F.when(F.col("_m").isNotNull(), F.transform("_m", lambda x: _pseudonym(x["m"], x["kind"], key))).alias("_new"))
+    found = found.select(*names, F.when(F.size("_m") > 0, F.transform("_m", _pieces)).alias("_m"))
+    new = F.transform("_m", lambda ps: F.array_join(F.transform(ps, lambda x: _pseudonym(x["m"], x["kind"], key)), ""))
+    found = found.select(*names, F.flatten("_m").alias("_m"), F.when(F.col("_m").isNotNull(), new).alias("_new"))
     joined = F.array_join(F.zip_with(F.split("text", ANY), "_new", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     text = F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("text"))
     counts = [F.coalesce(F.size(F.filter("_m", _of(k))), F.lit(0)).alias(f"n_{k}") for k in KINDS]

@@ -309,6 +309,23 @@ def test_feistel_permutes(spark):
     assert tuple(s) == (10_000, 4)
 
 
+def test_cards_next_to_other_digits(spark):
+    card, spaced = "4498907255849736", "4498 9072 5584 9736"
+    texts = [card, f"{card} 123", f"{spaced} 05/26", f"{card} 12/27", f"no 1234 {spaced} 12 3456 x", f"{card} {spaced}", f"{card} 23.137.180.233", f"{spaced} 2021-02-28", "1234567890123456 123", "1" * 25, f"77 44 {card} 9 8"]
+    texts += [f"{card} {k:03}" for k in range(100, 130)] + [f"{spaced} {k:02}/26" for k in range(1, 13)]
+    out = {r.doc_id: r for r in pii.pseudonymise(odd_docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), "key").collect()}
+    new = out[0].text
+    wide = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    for i, text in enumerate(texts):
+        want = text.replace(card, new).replace(spaced, wide)
+        if i == 6:
+            assert out[i].text.startswith(f"{new} ") and "23.137.180.233" not in out[i].text and (out[i].n_card, out[i].n_ip) == (1, 1)
+        elif i == 7:
+            assert out[i].text.startswith(f"{wide} ") and "2021-02-28" not in out[i].text and (out[i].n_card, out[i].n_date) == (1, 1)
+        else:
+            assert out[i].text == want and out[i].n_card == text.count(card) + text.count(spaced)
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     clean, bad = [f"wort{a}{b}" for a in "abcdefgh" for b in "klmnop"], ["grumblor", "snarfette", "plonkish"]
