@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from packlens.llm.common import Scratch, ship, tidied
 
-#: Bounds: labelled rows fitted on, features of the model, letters of the language model, kept tokens a worker.
-TRAIN_ROWS, FEATURES, LETTERS, KEEP = 20_000, 4_000, 64, 150_000
+#: Bounds: labelled rows fitted on, features of the model, kept tokens a worker.
+TRAIN_ROWS, FEATURES, KEEP = 20_000, 4_000, 150_000
 #: Documents of a class that a feature must stand in, standard errors its log odds must be away from 0; lengths of
 #: word beginnings.
 LEAST_DOCS, LEAST_ERRORS, STEMS = 3, 3.5, (4, 5)
@@ -47,11 +47,10 @@ class LanguageModel:
         letters = Counter()
         for t, n in trigrams.items():
             letters[t[2]] += n
-        self.letters = {c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]}
         total = sum(letters.values()) + len(letters) + 1
         self.single = {c: (n + 1) / total for c, n in letters.items()}
         self.rare = 1 / total
-        self.counts = {t: n for t, n in trigrams.items() if all(c in self.letters or c == EDGE for c in t)}
+        self.counts = trigrams
         self.before = Counter()
         for t, n in self.counts.items():
             self.before[t[:2]] += n
@@ -184,12 +183,12 @@ def _count_trigrams(batches):
 
 
 def language_model(docs: DataFrame) -> LanguageModel:
-    """Trigrams of the words of all documents. The table of words grows with the corpus and stays on the executors."""
+    """All trigrams of the words of all documents. The table of words stays on the executors; that of trigrams grows with the
+    corpus's letter combinations and goes to every worker."""
     schema = "word string, n long"
     words = docs.select("text").mapInArrow(tidied(_count_words), schema).groupBy("word").agg(F.sum("n").alias("n"))
     trigrams = words.mapInArrow(tidied(_count_trigrams), schema).groupBy("word").agg(F.sum("n").alias("n"))
-    top = trigrams.orderBy(F.desc("n"), "word").limit(LETTERS**3)
-    return LanguageModel({r["word"]: r["n"] for r in top.toLocalIterator()})
+    return LanguageModel({r["word"]: r["n"] for r in trigrams.toLocalIterator()})
 
 
 def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 1000, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -227,7 +226,7 @@ class ToxicityModel:
         ship(spark)
         scratch = Scratch(spark)
         lm = language_model(docs)
-        shared = spark.sparkContext.broadcast(lm)  # LETTERS**3 trigrams at most
+        shared = spark.sparkContext.broadcast(lm)
         usable = labels.where("doc_id is not null and toxic in (0, 1)").where(_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
         sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")

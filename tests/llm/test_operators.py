@@ -363,5 +363,12 @@ def test_viterbi_restores():
         assert toxicity.restore(given, model) == want
 
 
+def test_language_model_keeps_every_trigram(spark):
+    letters = [chr(0x4E00 + k) for k in range(100)]
+    rows = [(i, " ".join([a + b] * (200 - i)), "s") for i, (a, b) in enumerate(zip(letters, letters[1:]))]
+    model = toxicity.language_model(odd_docs(spark, rows))
+    assert all(model.counts[f"^{a}{b}"] == 200 - i for i, (a, b) in enumerate(zip(letters, letters[1:])))
+
+
 def test_paths_are_not_copied():
     assert BPE == public_tokenizers.path("byte_bpe_50k.json")
