@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over the words of all documents. A disguised token (digits or symbols among
-letters, letters written apart, letters repeated) is a lattice of what each of its characters may stand
-for; Viterbi decoding finds the reading with the best product of channel and language model. Other tokens have one reading. A
+A character trigram model is counted over the words of all documents. A token with digits, symbols or doubled letters is a
+lattice of what each of its characters may stand for; in runs of short tokens a blank stands for the end of a word or for
+nothing. Viterbi decoding finds the reading with the best product of channel and language model. Other tokens have one reading. A
 logistic regression over words and word beginnings of the restored text gives the score. It is fitted on
 at most TRAIN_ROWS labelled documents, those of the smallest hash of doc_id; the folds held out aren't among them.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -23,6 +24,8 @@ from packlens.llm.common import Scratch, ship, tidied
 
 #: Bounds: labelled rows fitted on, features of the model, kept tokens a worker.
 TRAIN_ROWS, FEATURES, KEEP = 20_000, 4_000, 150_000
+#: Longest token, in characters, of the runs whose blanks are read as symbols.
+SHORT = 4
 #: Documents of a class that a feature must stand in, standard errors its log odds must be away from 0; lengths of
 #: word beginnings.
 LEAST_DOCS, LEAST_ERRORS, STEMS = 3, 3.5, (4, 5)
@@ -30,13 +33,11 @@ TEXTS, FLUSH = 64, 100_000
 
 # What a character may stand for beside itself, and the channel's costs in nats.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s"}
-COST_LEET, COST_DROP, COST_DIGIT, COST_TWO, COST_MORE = 0.7, 1.5, 4.0, 1.5, 0.3
-EDGE = "^"
+COST_LEET, COST_DROP, COST_DIGIT, COST_TWO, COST_MORE, COST_BLANK, COST_NUMBER = 0.7, 1.5, 4.0, 1.5, 0.3, 2.0, log(10)
+EDGE, GLUE = "^", "\0"
 
 _STRIP = ".,;:?\"'()[]{}«»“”‘’…¡¿"
-_THRICE = re.compile(r"(.)\1\1")
 _TWICE = re.compile(r"(.)\1")
-_APART = re.compile(r"(?:(?<=\s)|^)[^\W_](?: [^\W_]){3,}(?=\s|[.,;:!?]|$)|(?:(?<=\s)|^)[\w@$!|](?: [\w@$!|]){3,}(?=\s|[.,;:!?]|$)")
 _TAIL = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 
 
@@ -61,13 +62,19 @@ class LanguageModel:
 
 def disguised(token: str) -> bool:
     """Whether a token (lower case, stripped) has more than one reading."""
-    if token.isalpha():
-        return bool(_THRICE.search(token)) or len(_TWICE.findall(token)) > 2
-    return any(c.isalpha() for c in token)
+    return bool(_TWICE.search(token)) if token.isalpha() else any(c.isalpha() or c in LEET for c in token)
+
+
+def numeric(token: str) -> bool:
+    """Whether a token can be a number: digits, and signs that stand for no letter."""
+    return not any(c.isalpha() or (c in LEET and not c.isdigit()) for c in token)
 
 
 def decode(token: str, model: LanguageModel) -> str:
-    """The best reading of a token by Viterbi over states of the last two letters."""
+    """The best reading of a token, or of tokens with a blank between, by Viterbi over states of the last two letters.
+
+    In the reading a blank is a blank or, where it stands for nothing, GLUE.
+    """
     steps: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -76,6 +83,10 @@ def decode(token: str, model: LanguageModel) -> str:
         while j < len(token) and token[j] == c:
             j += 1
         run = j - i
+        i = j
+        if c == " ":
+            steps.append([(" ", 0.0), (GLUE, COST_BLANK)])
+            continue
         readings = [(c, 0.0)] if c.isalpha() else []
         readings += [(x, COST_LEET) for x in LEET.get(c, "")]
         if c.isdigit():
@@ -87,20 +98,27 @@ def decode(token: str, model: LanguageModel) -> str:
             once = [(x * m, k * run + (0.0 if m == run else COST_TWO if run == 2 else COST_MORE)) for x, k in readings for m in (1, 2)]
             once = list(dict(sorted(once, key=lambda y: -y[1])).items())
         steps.append(once)
-        i = j
     states = {(EDGE, EDGE): (0.0, "")}
     for step in [*steps, [(EDGE, 0.0)]]:
         new: dict[tuple[str, str], tuple[float, str]] = {}
         for (a, b), (s, text) in states.items():
             for out, cost in step:
                 x, y, t = a, b, s - cost
-                for c in out:
-                    t += model.score(x, y, c)
-                    x, y = y, c
+                if out == " ":
+                    if y != EDGE:
+                        t += model.score(x, y, EDGE)
+                    x = y = EDGE
+                elif out != GLUE:
+                    for c in out:
+                        t += model.score(x, y, c)
+                        x, y = y, c
                 if (x, y) not in new or t > new[x, y][0]:
                     new[x, y] = (t, text + out)
         states = new
-    return max(states.values())[1].rstrip(EDGE)
+    best, text = max(states.values())
+    if numeric(token) and best < -COST_NUMBER * sum(c.isdigit() for c in token):
+        return token
+    return text.rstrip(EDGE)
 
 
 def plain(token: str) -> str:
@@ -110,17 +128,70 @@ def plain(token: str) -> str:
 
 
 def restore(token: str, model: LanguageModel) -> str:
+    """A token as it is read; of a run of short tokens the words, with a blank between, in which a blank stands for nothing."""
+    if " " in token:
+        return " ".join(w.replace(GLUE, "") for w in decode(token, model).split(" ") if GLUE in w.strip(GLUE))
     token = plain(token)
     return decode(token, model) if disguised(token) else token
 
 
+@lru_cache(KEEP)
+def short(token: str) -> str:
+    """A token (lower case, stripped) that a run may hold, else nothing."""
+    token = plain(token)
+    return token if len(token) <= SHORT and " " not in token else ""
+
+
 def tokens_of(text: str) -> list[str]:
-    """White-space tokens, and one more for every stretch of letters written apart."""
-    return [*text.split(), *[m.group().replace(" ", "") for m in _APART.finditer(text)]]
+    """White-space tokens, and one more for every run of short ones: these, with a blank between."""
+    tokens = text.split()
+    runs, run = [], []
+    for t in map(short, tokens):
+        if t:
+            run.append(t)
+        elif run:
+            if len(run) > 1:
+                runs.append(" ".join(run))
+            run = []
+    if len(run) > 1:
+        runs.append(" ".join(run))
+    return [*tokens, *runs]
+
+
+def features_of(words: str) -> list[str]:
+    return [f for word in words.split() for f in (word, *[word[:k] + "*" for k in STEMS if len(word) > k])]
+
+
+class Glued(dict):
+    """Whether the blank stands for nothing between words of which the first ends with two letters and the second starts with two.
+
+    Both letters of either have one reading, so that the rest of the run has no part in it: the state before is
+    known and the states after are the same.
+    """
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
 
+    def __missing__(self, four: str) -> bool:
+        if len(self) >= KEEP:
+            self.clear()
+        (a, b, c, d), score = four, self.model.score
+        apart = score(a, b, EDGE) + score(EDGE, EDGE, c) + score(EDGE, c, d)
+        value = self[four] = score(a, b, c) + score(b, c, d) - COST_BLANK > apart
+        return value
 
-def features_of(word: str) -> list[str]:
-    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]] if word else []
+    def parts(self, run: str) -> list[str]:
+        """``run`` cut at blanks that end a word whatever stands around; parts of one token, which have no blank, are left out."""
+        tokens = run.split(" ")
+        firm = [len(t) > 1 and not disguised(t) and t.isalpha() for t in tokens]
+        out, start = [], 0
+        for i in range(1, len(tokens) + 1):
+            if i == len(tokens) or (firm[i - 1] and firm[i] and not self[tokens[i - 1][-2:] + tokens[i][:2]]):
+                if i - start > 1:
+                    out.append(" ".join(tokens[start:i]))
+                start = i
+        return out
 
 
 class Features(dict):
@@ -128,7 +199,7 @@ class Features(dict):
 
     def __init__(self, model: LanguageModel, known: dict[str, int] | None):
         super().__init__()
-        self.model, self.known = model, known
+        self.model, self.known, self.glued = model, known, Glued(model)
 
     def __missing__(self, token: str):
         if len(self) >= KEEP:
@@ -140,7 +211,7 @@ class Features(dict):
         return value
 
     def of(self, text: str) -> set:
-        return {f for fs in filter(None, map(self.__getitem__, tokens_of(text))) for f in fs}
+        return {f for t in tokens_of(text) for u in (self.glued.parts(t) if " " in t else (t,)) for f in self[u] or ()}
 
 
 def _texts(batches):

@@ -363,6 +363,24 @@ def test_viterbi_restores():
         assert toxicity.restore(given, model) == want
 
 
+def test_viterbi_decides_on_blanks_and_doubled_letters():
+    words = {"stupid": 50, "idiot": 40, "ass": 40, "such": 90, "a": 100, "man": 120, "is": 200, "the": 300, "table": 200, "better": 60}
+    grams = collections.Counter()
+    for w, n in words.items():
+        w = "^^" + w + "^"
+        for i in range(len(w) - 2):
+            grams[w[i : i + 3]] += n
+    model = toxicity.LanguageModel(grams)
+    for given, want in {"iddiot": "idiot", "stuupid": "stupid", "better": "better", "4$$": "ass", "1998": "1998", "12:30": "12:30"}.items():
+        assert toxicity.restore(given, model) == want
+    cache = toxicity.Features(model, None)
+    for text, word in {"such a s t u p i d man": "stupid", "the stu pid man": "stupid", "i  d  i  o  t": "idiot", "a 5 t u p 1 d table": "stupid", "such stu  pid": "stupid"}.items():
+        found = {toxicity.restore(t, model) for t in toxicity.tokens_of(text)}
+        assert word in found
+        assert cache.of(text) == {f for t in toxicity.tokens_of(text) for f in toxicity.features_of(toxicity.restore(t, model))}
+    assert cache.of("such a man is the table") == {"such", "a", "man", "is", "the", "table", "tabl*"}
+
+
 def test_language_model_keeps_every_trigram(spark):
     letters = [chr(0x4E00 + k) for k in range(100)]
     rows = [(i, " ".join([a + b] * (200 - i)), "s") for i, (a, b) in enumerate(zip(letters, letters[1:]))]
