@@ -55,9 +55,15 @@ class LanguageModel:
         self.before = Counter()
         for t, n in self.counts.items():
             self.before[t[:2]] += n
+        self.known: dict[str, float] = {}
 
     def score(self, a: str, b: str, c: str) -> float:
-        return log((self.counts.get(a + b + c, 0) + 5 * self.single.get(c, self.rare)) / (self.before.get(a + b, 0) + 5))
+        if (known := self.known.get(a + b + c)) is not None:
+            return known
+        if len(self.known) >= KEEP:
+            self.known.clear()
+        value = self.known[a + b + c] = log((self.counts.get(a + b + c, 0) + 5 * self.single.get(c, self.rare)) / (self.before.get(a + b, 0) + 5))
+        return value
 
 
 def disguised(token: str) -> bool:
@@ -122,8 +128,11 @@ def decode(token: str, model: LanguageModel) -> str:
 
 
 def plain(token: str) -> str:
-    token = unicodedata.normalize("NFKC", token).lower()
-    token = "".join(c for c in token if unicodedata.category(c) != "Cf").strip(_STRIP)
+    if token.isascii():  # such text is normal and has no format characters
+        token = token.lower().strip(_STRIP)
+    else:
+        token = unicodedata.normalize("NFKC", token).lower()
+        token = "".join(c for c in token if unicodedata.category(c) != "Cf").strip(_STRIP)
     return _TAIL.sub("", token).strip(_STRIP).rstrip("!")
 
 
@@ -162,6 +171,11 @@ def features_of(words: str) -> list[str]:
     return [f for word in words.split() for f in (word, *[word[:k] + "*" for k in STEMS if len(word) > k])]
 
 
+@lru_cache(KEEP)
+def _firm(token: str) -> bool:
+    return len(token) > 1 and token.isalpha() and not disguised(token)
+
+
 class Glued(dict):
     """Whether the blank stands for nothing between words of which the first ends with two letters and the second starts with two.
 
@@ -184,7 +198,7 @@ class Glued(dict):
     def parts(self, run: str) -> list[str]:
         """``run`` cut at blanks that end a word whatever stands around; parts of one token, which have no blank, are left out."""
         tokens = run.split(" ")
-        firm = [len(t) > 1 and not disguised(t) and t.isalpha() for t in tokens]
+        firm = [*map(_firm, tokens)]
         out, start = [], 0
         for i in range(1, len(tokens) + 1):
             if i == len(tokens) or (firm[i - 1] and firm[i] and not self[tokens[i - 1][-2:] + tokens[i][:2]]):
@@ -199,19 +213,34 @@ class Features(dict):
 
     def __init__(self, model: LanguageModel, known: dict[str, int] | None):
         super().__init__()
-        self.model, self.known, self.glued = model, known, Glued(model)
+        self.model, self.known, self.glued, self.runs = model, known, Glued(model), {}
 
-    def __missing__(self, token: str):
-        if len(self) >= KEEP:
-            self.clear()
+    def _numbered(self, token: str) -> tuple | None:
         fs = features_of(restore(token, self.model))
         if self.known is not None:
             fs = [self.known[f] for f in fs if f in self.known]
-        value = self[token] = tuple(fs) or None
+        return tuple(fs) or None
+
+    def __missing__(self, token: str):
+        if len(self) >= KEEP:
+            self.clear()
+        value = self[token] = self._numbered(token)
         return value
 
+    def _run(self, run: str) -> tuple:
+        """The features of a run; parts of runs are kept apart from tokens, which come again more often."""
+        out = ()
+        for part in self.glued.parts(run):
+            if part not in self.runs:
+                if len(self.runs) >= KEEP:
+                    self.runs.clear()
+                self.runs[part] = self._numbered(part)
+            out += self.runs[part] or ()
+        return out
+
     def of(self, text: str) -> set:
-        return {f for t in tokens_of(text) for u in (self.glued.parts(t) if " " in t else (t,)) for f in self[u] or ()}
+        tokens = tokens_of(text)
+        return {f for fs in filter(None, [self._run(t) if " " in t else self[t] for t in dict.fromkeys(tokens)]) for f in fs}
 
 
 def _texts(batches):
