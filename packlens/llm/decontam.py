@@ -17,16 +17,21 @@ from pyspark.sql import functions as F
 from packlens.llm.common import Scratch, lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of benchmark words or windows up to which they are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 400_000
+#: What stands between words, once A-Z are lower-cased.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Rows of benchmark words, and bytes of windows, up to which they are broadcast; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 #: Bits per prefix word of the one-hash filter that spares the join most words, and its bound in words of 64 bits.
 FILTER_BITS, FILTER_WORDS = 64, 1 << 17
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; null gives null. Texts that are all ASCII take the quicker lower()."""
+    """Words of a text, A-Z lower-cased; null gives null. Texts that are all ASCII take the quicker lower().
+
+    The text is split at runs of other characters: regexp_extract_all copies the text once a match.
+    """
     low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(lower_ascii(text))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BREAK), "")
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -37,10 +42,6 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return runs.select(F.md5(F.array_join("words", " ")).alias("wid"), "words", "item_id").distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -68,7 +69,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     first = tokens.join(counts, "word", "left").groupBy("wid", "words").agg(F.min(rarity).alias("r"))
     entry = F.struct(F.col("r.offset").alias("offset"), "wid", "words")
     prefixes = scratch.write(first.select(F.col("r.word").alias("word"), entry.alias("entry")).groupBy("word").agg(F.collect_list("entry").alias("entries")))
-    n_prefixes = prefixes.count()
+    n_prefixes, n_bytes = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word") + F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + 64 + F.octet_length(F.array_join(e["words"], " ")))), F.lit(0))).first()
 
     # Occurrences of prefix words, with the words around them.
     bits = min(FILTER_WORDS, max(1, n_prefixes * FILTER_BITS // 64)) * 64
@@ -89,7 +90,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     rows = texts.select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("w"))
     rows = rows.select("doc_id", "_text", F.greatest(F.lit(0), F.size("w")).cast("long").alias("n_words"), F.posexplode_outer(around).alias("k", "c"))
     rows = rows.select("doc_id", "_text", "n_words", (F.coalesce("k", F.lit(0)) == 0).alias("head"), "c.*")
-    joined = rows.join(_small(prefixes.withColumnRenamed("words", "_w"), n_prefixes), "word", "left")
+    joined = rows.join(F.broadcast(prefixes) if n_bytes <= BROADCAST_BYTES else prefixes, "word", "left")
 
     def holds(e: Column) -> Column:
         start, size = F.col("at") - e["offset"], F.size(e["words"])
