@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-A line is a trimmed, non-blank line of a document; its spread is the number of distinct sites it stands on.
+A line is a non-blank line of a document without the spaces around it (tabs and carriage returns stay); its spread is the number of distinct sites it stands on.
 Lines that can't reach the threshold (one site only, or too few occurrences) are set aside by a plain
 aggregate. For the others HyperLogLog sketches per line hash are built in salted parts and merged. A line
 whose estimate lies well above the threshold is boilerplate, well below it is kept, and near
@@ -19,8 +19,13 @@ from packlens.llm.common import Scratch
 
 #: Log2 of a sketch's registers, and so many standard errors around the threshold are counted exactly.
 LG_K, SIGMAS, SALTS = 10, 4, 8
-#: Removed lines up to which their positions are broadcast to the documents; beyond, the join shuffles.
-BROADCAST_LINES = 2_000_000
+#: Rows of a fixed size (lines by hash, removed lines) up to which they are broadcast; beyond, joins shuffle.
+BROADCAST_KEYS, BROADCAST_LINES = 500_000, 2_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of lines, broadcast where it is small: no task then holds all occurrences of a common line."""
+    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -46,7 +51,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 3, site: str = "source") -> tu
     spread = scratch.write(merged.where(F.col("estimate") >= min_sites - margin))
     clear = spread.where(F.col("estimate") > min_sites + margin).select(*line, F.col("estimate").alias("spread"))
     near = spread.where(F.col("estimate") <= min_sites + margin).select(*line)
-    exact = found.join(near, line, "left_semi").select(*line, "site").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") >= min_sites)
+    exact = found.join(_few(near), line, "left_semi").select(*line, "site").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") >= min_sites)
     return clear.unionByName(exact), found.select("doc_id", "_text", "pos", *line)
 
 
@@ -62,9 +67,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, site: str = "source") -> Da
     docs = docs.drop("n_lines", "n_removed")
     lines, found = boilerplate(docs, min_sites, site)
     scratch = Scratch(spark)
-    hits = scratch.write(found.join(lines.select("h", "size"), ["h", "size"]))
-    kept = hits.groupBy("h", "size").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    gone = hits.join(kept, ["h", "size"]).where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    hits = scratch.write(found.join(_few(scratch.write(lines.select("h", "size"))), ["h", "size"]))
+    kept = scratch.write(hits.groupBy("h", "size").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
+    gone = hits.join(_few(kept), ["h", "size"]).where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
     removed = scratch.write(gone.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(F.collect_set("pos").alias("_gone")))
     n = removed.agg(F.sum(F.size("_gone"))).first()[0] or 0
     removed = F.broadcast(removed) if n <= BROADCAST_LINES else removed
