@@ -2,10 +2,10 @@
 
 Only counts per length leave the executors: capacity + 1 numbers at most, whatever the corpus holds.
 The driver plans on them. Full pieces stand alone. Large lengths are sorted and split into groups of equal
-cardinality, and each length counts as its group's largest, so that only a few sizes remain; over
-these sizes the fullest configurations (multisets that fit) are found by dynamic programming and used
-as often as the groups allow. Actual lengths are then put in the places of their groups, which frees the rounding, and what
-remains, small lengths and left-over large ones, goes best-fit decreasing into the smallest room that holds it.
+cardinality, and each length counts as its group's largest, so that only a few sizes remain. How often each
+configuration (multiset of sizes that fits) is used is the optimum of a linear program, solved by column generation and rounded
+down. Actual lengths are then put in the places of their groups, all but a configuration's smallest, which frees the
+rounding: what remains, those, small lengths and left-over ones, goes best-fit decreasing into the smallest room that holds it.
 A plan is a table of runs: the pieces ``first .. first+count-1`` of a length go to as many successive
 sequences at one offset. Pieces are ranked within their length on the executors and meet their run
 in an equi-join on (length, run), so no task sees more than its share of a length.
@@ -16,14 +16,17 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import Scratch, gapless_rank
 from packlens.llm.tokens import token_pieces
 
-#: Lengths over capacity / LARGE are large; numbers of groups that are tried.
-LARGE, GROUPS = 4, (24, 96, 384, 2048)
+#: Lengths over capacity / LARGE are large, so that a configuration has less than LARGE; numbers of groups that are tried.
+LARGE, GROUPS = 4, (24, 96, 256, 512)
+#: Runs of a plan up to which it is broadcast; beyond, joins shuffle.
+BROADCAST_RUNS = 200_000
 
 
 class _Plan:
@@ -83,40 +86,55 @@ def _configurations(plan: _Plan, groups: int) -> None:
     for x in large:
         n = plan.left[x]
         while n:
-            if held == each:
-                members.append([])
+            if held >= each:
+                if members[-1][0][0] > x:  # groups of one size are one
+                    members.append([])
                 held = 0
             m = min(n, each - held)
             members[-1].append([x, m])
             held, n = held + m, n - m
     sizes = [g[0][0] for g in members]
     free = [sum(m for _, m in g) for g in members]
-    while any(free):
-        top = next(i for i, n in enumerate(free) if n)
-        config = _fullest(plan.capacity - sizes[top], sizes, free, top)
-        need = Counter(config) + Counter([top])
-        times = min(free[i] // k for i, k in need.items())
-        places = sorted(need.elements())
-        _substitute(plan, places, members, times)
-        for i, k in need.items():
-            free[i] -= k * times
-
-
-def _fullest(room: int, sizes: list[int], free: list[int], top: int) -> list[int]:
-    """The groups whose sizes fill ``room`` most, no group more often than it has members."""
-    left = list(free)
-    left[top] -= 1
-    best: dict[int, list[int]] = {0: []}
-    for i, size in enumerate(sizes):
-        for _ in range(min(left[i], room // size)):
-            new = {}
-            for total, items in best.items():
-                if (t := total + size) <= room and t not in best and t not in new:
-                    new[t] = [*items, i]
-            if not new:
-                break
-            best |= new
-    return best[max(best)]
+    for config, times in _optimum(plan.capacity, sizes, free):
+        _substitute(plan, config[: max(1, len(config) - 1)], members, times)
+
+
+def _optimum(capacity: int, sizes: list[int], demand: list[int]) -> list[tuple[list[int], int]]:
+    """(configuration: group numbers, times): the least number of sequences for ``demand`` pieces of ``sizes`` by linear
+    programming (revised simplex; the best new configuration is priced in at each step), rounded down."""
+    size, need = np.array(sizes), np.array(demand, np.float64)
+    configs = [[i] * min(LARGE - 1, capacity // x) for i, x in enumerate(sizes)]
+    room = capacity - (size[:, None] + size[None, :])  # left by two pieces
+    fits = np.searchsorted(-size, -np.maximum(room, 0))  # the first group, in falling order, that fits there
+    inverse, steps = np.diag([1.0 / len(c) for c in configs]), 0  # of the basis, a column a configuration
+    used = need * inverse.diagonal()
+    while steps < 10 * len(sizes):  # each step leaves a plan that is valid
+        price = np.append(inverse.sum(axis=0), 0.0)  # what a piece of a group is worth; nothing at the end
+        best = np.empty(len(price), int)  # the worthiest group from each on, that is of those that fit
+        best[-1] = len(sizes)
+        for i in range(len(sizes) - 1, -1, -1):
+            best[i] = i if price[i] > price[best[i + 1]] else best[i + 1]
+        value = np.where(room >= 0, price[:-1, None] + price[None, :-1] + price[best[fits]], -np.inf)
+        i, j = np.unravel_index(int(value.argmax()), value.shape)
+        if value[i, j] <= 1 + 1e-7:
+            break
+        config = sorted(int(g) for g in (i, j, best[fits[i, j]]) if g < len(sizes))
+        column = np.bincount(config, minlength=len(sizes)).astype(np.float64)
+        by = (inverse * column).sum(axis=1)
+        ratio = np.where(by > 1e-9, used / np.where(by > 1e-9, by, 1.0), np.inf)
+        out = int(ratio.argmin())
+        times, configs[out] = used[out] / by[out], config
+        used = np.maximum(used - times * by, 0.0)
+        used[out] = times
+        inverse -= np.outer(by - (np.arange(len(by)) == out), inverse[out] / by[out])
+        steps += 1
+    left, chosen = list(demand), []
+    for config, times in zip(configs, used):
+        if times := min(int(times + 1e-6), *(left[g] // k for g, k in Counter(config).items())):
+            chosen.append((config, times))
+            for g in config:
+                left[g] -= times
+    return chosen
 
 
 def _substitute(plan: _Plan, places: list[int], members: list[list[list[int]]], times: int) -> None:
@@ -149,9 +167,12 @@ def _substitute(plan: _Plan, places: list[int], members: list[list[list[int]]],
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first, count, first sequence, offset) runs and the number of sequences: the best over GROUPS."""
-    best = None
+    """(length, first, count, first sequence, offset) runs and the number of sequences: the best over GROUPS, of which no more
+    are tried once no plan can be better."""
+    best, least = None, -(-sum(x * n for x, n in counts.items()) // capacity)
     for groups in GROUPS:
+        if best is not None and best.sequences == least:
+            break
         plan = _Plan(capacity, counts)
         if n := plan.left[capacity]:
             plan.put(capacity, n, 0, 0)
@@ -174,6 +195,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     table = [(length, k, *r) for length, rs in by_length.items() for k, r in enumerate(rs)]
     plan = spark.createDataFrame(table, "length long, run int, first long, count long, sequence long, offset long")
     starts = plan.groupBy("length").agg(F.array_sort(F.collect_list("first")).alias("firsts"))
+    if len(table) <= BROADCAST_RUNS:  # no task then holds all pieces of a common length
+        plan, starts = F.broadcast(plan), F.broadcast(starts)
     ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece"], "rank", sum(counts.values()))
     run = F.size(F.filter("firsts", lambda x: x <= F.col("rank"))) - 1
     placed = ranked.join(starts, "length").withColumn("run", run).drop("firsts").join(plan, ["length", "run"])
