@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from packlens.llm.common import Scratch, lower_ascii
 
-#: The most bits of a level that are put into the plan (1 MB). Longer lists need ``listed_by_join``.
+#: The most bits of a level that are put into the plan (1 MB). Longer lists are joined.
 MAX_BITS = 8 << 20
 
 
@@ -53,11 +53,15 @@ class Cascade:
         return key.isNotNull() & inside
 
 
+class TooLong(ValueError):
+    """A level needs more than MAX_BITS."""
+
+
 def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))
     bits = -(-bits // 64) * 64
     if bits > MAX_BITS:
-        raise ValueError(f"a level needs {bits} bits; beyond {MAX_BITS} use listed_by_join")
+        raise TooLong(f"a level needs {bits} bits")
     hashes = max(1, round(math.log2(1 / rate)))
     at = F.explode(F.array(*_places(F.col("key"), salt, bits, hashes)))
     set_bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
@@ -116,8 +120,9 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
 
     A rule fits its host and all subdomains where the url's path starts with the rule's; the longest
     rule wins, a url that none fits gets ``default`` and a null rule. A null url, or one without ://,
-    has empty host and path. Repeated rows are judged alike; other columns aren't read; an empty table
-    gives an empty result. Rules that say both for one key are an error.
+    has empty host and path. Repeated rows and very long urls are judged alike; other columns aren't read; an empty table
+    gives an empty result. Two rules for one key are an error, so that none tie. A list of rules that needs a level of more
+    than MAX_BITS is joined instead.
     """
     if len({(h, p) for h, p, _ in rules}) < len(rules):
         raise ValueError("two rules for one host and path")
@@ -126,7 +131,10 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     keys = split.select("page_id", "host", "path", F.array(*candidates(F.col("host"), F.col("path"), rules)).alias("keys"))
     universe = keys.select(F.explode("keys").alias("key"))
     lists = {v: spark.createDataFrame([(h + p,) for h, p, x in rules if x == v], "key string") for v in ("allow", "block")}
-    cascades = {v: build_cascade(spark, df, universe) for v, df in lists.items()}
+    try:
+        cascades = {v: build_cascade(spark, df, universe) for v, df in lists.items()}
+    except TooLong:
+        return _judged_by_join(keys, lists, default)
 
     def fitting(key: Column) -> Column:
         said = F.when(cascades["block"].contains(key), F.lit("block")).when(cascades["allow"].contains(key), F.lit("allow"))
@@ -141,3 +149,14 @@ def listed_by_join(keys: DataFrame, listed: DataFrame) -> DataFrame:
     """The way beyond MAX_BITS: mark ``keys`` (column key) that stand in ``listed`` by an equi-join."""
     marks = listed.where("key is not null").distinct().withColumn("listed", F.lit(True))
     return keys.join(marks, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def _judged_by_join(keys: DataFrame, lists: dict[str, DataFrame], default: str) -> DataFrame:
+    """The same verdicts: the candidate keys of each distinct host and path are marked, and pages meet their host and path."""
+    at = ["host", "path"]
+    seen = keys.select(*at, F.explode("keys").alias("key")).where("key is not null").distinct()
+    marked = listed_by_join(listed_by_join(seen, lists["block"]).withColumnRenamed("listed", "blocked"), lists["allow"])
+    said = F.struct(F.length("key").alias("length"), F.col("key").alias("rule"), F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
+    best = marked.where("blocked or listed").groupBy(*at).agg(F.max(said).alias("best"))
+    judged = keys.select("page_id", *at).join(best, at, "left")
+    return judged.select("page_id", *at, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
