@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import groupby
 from math import log
 
 import numpy as np
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from packlens.llm.common import Scratch, ship, tidied
 
-#: Bounds: labelled rows fitted on, features of the model, kept tokens a worker.
-TRAIN_ROWS, FEATURES, KEEP = 20_000, 4_000, 150_000
+#: Bounds: labelled rows fitted on, kept tokens a worker.
+TRAIN_ROWS, KEEP = 20_000, 150_000
 #: Longest token, in characters, of the runs whose blanks are read as symbols.
 SHORT = 4
 #: Documents of a class that a feature must stand in, standard errors its log odds must be away from 0; lengths of
-#: word beginnings.
-LEAST_DOCS, LEAST_ERRORS, STEMS = 3, 3.5, (4, 5)
+#: word beginnings; share of a row's features that a step of the fit leaves out, so that one word alone gets its weight too;
+#: what a weight other than 0 must explain, in documents.
+LEAST_DOCS, LEAST_ERRORS, STEMS, LEFT_OUT, LEAST_SHARE = 3, 3.0, (4, 5, 6, 7, 8), 0.3, 0.4
 TEXTS, FLUSH = 64, 100_000
 
 # What a character may stand for beside itself, and the channel's costs in nats.
@@ -37,7 +39,9 @@ COST_LEET, COST_DROP, COST_DIGIT, COST_TWO, COST_MORE, COST_BLANK, COST_NUMBER =
 EDGE, GLUE = "^", "\0"
 
 _STRIP = ".,;:?\"'()[]{}«»“”‘’…¡¿"
-_TWICE = re.compile(r"(.)\1")
+_TWICE, _ROW = re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1+", re.DOTALL)
+_CLASS = str.maketrans({c: x[0] for c, x in LEET.items() if c.isalnum()})
+_SIGNS = re.compile(r"[\s" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]")
 _TAIL = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 
 
@@ -152,25 +156,25 @@ def short(token: str) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    """White-space tokens, and one more for every run of short ones: these, with a blank between."""
+    """White-space tokens, and one more for every run of short ones: these, with a blank between. ``Features.of`` is the
+    features of the restored tokens, but decodes only those that can hold a known one."""
     tokens = text.split()
-    runs, run = [], []
-    for t in map(short, tokens):
-        if t:
-            run.append(t)
-        elif run:
-            if len(run) > 1:
-                runs.append(" ".join(run))
-            run = []
-    if len(run) > 1:
-        runs.append(" ".join(run))
-    return [*tokens, *runs]
+    runs = [" ".join(run) for within, run in groupby(map(short, tokens), bool) if within]
+    return [*tokens, *(r for r in runs if " " in r)]
 
 
 def features_of(words: str) -> list[str]:
     return [f for word in words.split() for f in (word, *[word[:k] + "*" for k in STEMS if len(word) > k])]
 
 
+def outline(word: str) -> str:
+    """What all readings of a token without signs of letters have in common with it: letters that one sign stands for are
+    one, a row of one letter is one, and signs that stand for nothing are left out."""
+    if not word.isalpha():
+        word = "".join(c for c in word.translate(_CLASS) if c.isalpha() or c.isdigit())
+    return _ROW.sub(r"\1", word.replace("l", "i"))
+
+
 @lru_cache(KEEP)
 def _firm(token: str) -> bool:
     return len(token) > 1 and token.isalpha() and not disguised(token)
@@ -195,52 +199,119 @@ class Glued(dict):
         value = self[four] = score(a, b, c) + score(b, c, d) - COST_BLANK > apart
         return value
 
-    def parts(self, run: str) -> list[str]:
-        """``run`` cut at blanks that end a word whatever stands around; parts of one token, which have no blank, are left out."""
-        tokens = run.split(" ")
+    def parts(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(first, end) of the parts of a run that is cut at blanks that end a word whatever stands around; parts of one
+        token, which have no blank, are left out."""
         firm = [*map(_firm, tokens)]
         out, start = [], 0
         for i in range(1, len(tokens) + 1):
             if i == len(tokens) or (firm[i - 1] and firm[i] and not self[tokens[i - 1][-2:] + tokens[i][:2]]):
                 if i - start > 1:
-                    out.append(" ".join(tokens[start:i]))
+                    out.append((start, i))
                 start = i
         return out
 
 
-class Features(dict):
-    """The features of a token that ``known`` holds (all, where it is None), or None; bounded."""
+class Wanted:
+    """Which tokens and runs can be read as a known feature at all: the others needn't be decoded. Never wrong, but it may say
+    yes where decoding then finds nothing."""
 
-    def __init__(self, model: LanguageModel, known: dict[str, int] | None):
-        super().__init__()
-        self.model, self.known, self.glued, self.runs = model, known, Glued(model), {}
+    def __init__(self, known: dict[str, int]):
+        self.words = {outline(f) for f in known if not f.endswith("*")}
+        self.stems = {outline(f[:-1]) for f in known if f.endswith("*")}
+        self.starts = {w[:k] for w in self.words | self.stems for k in range(len(w) + 1)}
+        self.lengths = sorted({len(x) for x in self.stems})
+        self.heads = {f.rstrip("*")[: min(STEMS)] for f in known}
 
-    def _numbered(self, token: str) -> tuple | None:
-        fs = features_of(restore(token, self.model))
-        if self.known is not None:
-            fs = [self.known[f] for f in fs if f in self.known]
-        return tuple(fs) or None
+    def _stem(self, line: str) -> bool:
+        return any(line[:k] in self.stems for k in self.lengths)
 
-    def __missing__(self, token: str):
-        if len(self) >= KEEP:
+    def token(self, token: str) -> bool:
+        if _SIGNS.search(token):
+            return True
+        line = outline(token)
+        return line in self.words or self._stem(line)
+
+    def begins(self, tokens: str) -> bool:
+        """Whether a word that begins with a token, or with two put together, can be one."""
+        if _SIGNS.search(tokens):
+            return True
+        line = outline(tokens)
+        return line in self.starts or self._stem(line)
+
+
+class Cache(dict):
+    """``make(key)`` by key, for about KEEP keys: when half as many are new, those that weren't asked for since the last time go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= KEEP // 2:
+            self.old = dict(self)
             self.clear()
-        value = self[token] = self._numbered(token)
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def _run(self, run: str) -> tuple:
-        """The features of a run; parts of runs are kept apart from tokens, which come again more often."""
-        out = ()
-        for part in self.glued.parts(run):
-            if part not in self.runs:
-                if len(self.runs) >= KEEP:
-                    self.runs.clear()
-                self.runs[part] = self._numbered(part)
-            out += self.runs[part] or ()
-        return out
+
+_NOTHING = "", (), False
+
+
+class Features:
+    """The features of texts that ``known`` holds (all, where it is None)."""
+
+    def __init__(self, model: LanguageModel, known: dict[str, int] | None):
+        self.model, self.known, self.glued = model, known, Glued(model)
+        self.wanted = None if known is None else Wanted(known)
+        self.tokens, self.pairs = Cache(self._token), Cache(self._joins)
+        self.parts = Cache(lambda part: self._numbered(restore(part, model)))
+
+    def _numbered(self, words: str) -> tuple:
+        fs = features_of(words)
+        return tuple(fs) if self.known is None else tuple(self.known[f] for f in fs if f in self.known)
+
+    def _token(self, raw: str) -> tuple[str, tuple, bool]:
+        """The token as a run may hold it, else nothing; its features; whether a feature may go from it over a blank."""
+        token = raw.lower().strip(_STRIP)
+        if not token.isalpha() or not (raw.isascii() or unicodedata.is_normalized("NFKC", raw)):
+            token = plain(raw)  # else it is the same
+        if not disguised(token):
+            fs = self._numbered(token) if self.wanted is None or token[: min(STEMS)] in self.wanted.heads else ()
+        else:
+            fs = self._numbered(decode(token, self.model)) if self.wanted is None or self.wanted.token(token) else ()
+        if len(token) > SHORT or " " in token:
+            return ("", fs, False) if fs else _NOTHING
+        return token, fs, token != "" and (self.wanted is None or self.wanted.begins(token))
+
+    def _joins(self, pair: tuple[str, str]) -> bool:
+        return self.wanted is None or self.wanted.begins(pair[0] + pair[1])
+
+    def _run(self, run: list[str], at: list[int]) -> tuple:
+        """The features of those parts of a run that hold one of the places ``at``."""
+        return tuple(f for first, end in self.glued.parts(run) if any(first <= i < end - 1 for i in at) for f in self.parts[" ".join(run[first:end])])
 
     def of(self, text: str) -> set:
-        tokens = tokens_of(text)
-        return {f for fs in filter(None, [self._run(t) if " " in t else self[t] for t in dict.fromkeys(tokens)]) for f in fs}
+        """The features of a text: those of its white-space tokens, and of runs of short ones."""
+        seen = [*map(self.tokens.__getitem__, text.split())]
+        short = [e[0] for e in seen]
+        found = {f for e in seen if e[1] for f in e[1]}
+        end, at = 0, []
+        for i in [i for i, (e, after) in enumerate(zip(seen, short[1:])) if e[2] and after and self.pairs[e[0], after]]:
+            if i >= end:
+                if at:
+                    found.update(self._run(short[first:end], [k - first for k in at]))
+                first, end, at = i, i + 1, []
+                while first and short[first - 1]:
+                    first -= 1
+                while end < len(short) and short[end]:
+                    end += 1
+            at.append(i)
+        if at:
+            found.update(self._run(short[first:end], [k - first for k in at]))
+        return found
 
 
 def _texts(batches):
@@ -249,50 +320,68 @@ def _texts(batches):
             yield whole.slice(i, TEXTS)
 
 
-def _counts(batch_words: Counter):
-    return pa.RecordBatch.from_arrays([pa.array(list(batch_words), pa.string()), pa.array(list(batch_words.values()), pa.int64())], ["word", "n"])
+def _trigrams(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of counted words, as numbers of three times 21 bits, and their counts."""
+    kept = [(w, n) for w, n in ((w.strip(_STRIP), n) for w, n in words.items()) if w.isalpha()]
+    codes = np.frombuffer("".join([EDGE * 2 + w + EDGE for w, _ in kept]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) + 3 for w, _ in kept], np.int64)
+    within = np.ones(len(codes), bool)
+    within[np.cumsum(sizes) - 1] = within[np.cumsum(sizes) - 2] = False
+    grams, which = np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[within[:-2]], return_inverse=True)
+    times = np.repeat(np.array([n for _, n in kept], np.float64), sizes - 2)  # whole numbers below 2**53
+    return grams, np.bincount(which, times, len(grams)).astype(np.int64)
+
+
+def _count_trigrams(batches):
+    words: Counter = Counter()
+    grams: Counter = Counter()
+
+    def add():
+        for g, n in zip(*(x.tolist() for x in _trigrams(words))):
+            grams[g] += n
+        words.clear()
 
+    def counted():
+        names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
-def _count_words(batches):
-    seen: Counter = Counter()
     for b in _texts(batches):
         for t in b.column("text").to_pylist():
             if t:
-                seen.update(t.lower().split())
-        if len(seen) > FLUSH:
-            yield _counts(seen)
-            seen = Counter()
-    if seen:
-        yield _counts(seen)
+                words.update(t.lower().split())
+        if len(words) > FLUSH:
+            add()
+        if len(grams) > FLUSH:
+            yield counted()
+            grams.clear()
+    add()
+    if grams:
+        yield counted()
 
 
-def _count_trigrams(batches):
-    seen: Counter = Counter()
-    for b in batches:
-        for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-            w = w.strip(_STRIP)
-            if w.isalpha():
-                w = EDGE * 2 + w + EDGE
-                for i in range(len(w) - 2):
-                    seen[w[i : i + 3]] += n
-        if len(seen) > FLUSH:
-            yield _counts(seen)
-            seen = Counter()
-    if seen:
-        yield _counts(seen)
+def language_model(docs: DataFrame) -> LanguageModel:
+    """All trigrams of the words of all documents, added up on the executors. Their table grows with the corpus's letter
+    combinations and goes to every worker."""
+    trigrams = docs.select("text").mapInArrow(tidied(_count_trigrams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return LanguageModel({r["gram"]: r["n"] for r in trigrams.toLocalIterator()})
 
 
-def language_model(docs: DataFrame) -> LanguageModel:
-    """All trigrams of the words of all documents. The table of words stays on the executors; that of trigrams grows with the
-    corpus's letter combinations and goes to every worker."""
-    schema = "word string, n long"
-    words = docs.select("text").mapInArrow(tidied(_count_words), schema).groupBy("word").agg(F.sum("n").alias("n"))
-    trigrams = words.mapInArrow(tidied(_count_trigrams), schema).groupBy("word").agg(F.sum("n").alias("n"))
-    return LanguageModel({r["word"]: r["n"] for r in trigrams.toLocalIterator()})
+def _fit(rows: list[tuple[list[int], int]], size: int) -> tuple[np.ndarray, float]:
+    """Logistic regression with many weights of 0; rows: (feature numbers, label).
+
+    Features of weight 0 after some rounds stay out of the others.
+    """
+    w, b = _descend(rows, size, 100)
+    on = np.flatnonzero(w)
+    place = {int(f): i for i, f in enumerate(on)}
+    w[on], b = _descend([([place[x] for x in f if x in place], v) for f, v in rows], len(on), 500)
+    return w, b
 
 
-def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 1000, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch gradient steps with momentum (Adam); rows: (feature numbers, label)."""
+def _descend(rows: list[tuple[list[int], int]], size: int, rounds: int) -> tuple[np.ndarray, float]:
+    """Full-batch steps with momentum (Adam), each on 1 - LEFT_OUT of the features, drawn anew from a fixed seed; a weight
+    that explains less than LEAST_SHARE of a document goes to 0."""
+    draw = np.random.default_rng(0)
     lengths = np.array([len(f) for f, _ in rows])
     cols = np.array([x for f, _ in rows for x in f], np.int64)
     at = np.repeat(np.arange(len(rows)), lengths)
@@ -300,12 +389,16 @@ def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 1000, decay
     w, b = np.zeros(size), float(log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for k in range(1, rounds + 1):
-        z = b + np.bincount(at, w[cols], len(rows))
+        kept = draw.random(len(cols)) >= LEFT_OUT
+        c, a = cols[kept], at[kept]
+        z = b + np.bincount(a, w[c], len(rows))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(cols, g[at], size) + decay * w, g.sum())
+        grad = np.append(np.bincount(c, g[a], size), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        rate = 0.1 / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
+        step = rate * (m / (1 - 0.9**k))
         w, b = w - step[:size], b - step[size]
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate[:size] * LEAST_SHARE / len(y))
     return w, b
 
 
@@ -327,7 +420,7 @@ class ToxicityModel:
         scratch = Scratch(spark)
         lm = language_model(docs)
         shared = spark.sparkContext.broadcast(lm)
-        usable = labels.where("doc_id is not null and toxic in (0, 1)").where(_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+        usable = labels.where("doc_id is not null and toxic in (0, 1)").where(_fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
         sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
         rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
 
@@ -345,7 +438,7 @@ class ToxicityModel:
         by = seen.select("y", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("y").alias("one"), F.sum(1 - F.col("y")).alias("none"))
         odds = F.log((F.col("one") + 0.5) / (one + 1.0)) - F.log((F.col("none") + 0.5) / (none + 1.0))
         weight = F.abs(odds) / F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("none") + 0.5))
-        top = by.where(F.greatest("one", "none") >= LEAST_DOCS).where(weight >= LEAST_ERRORS).orderBy(F.desc(weight), "f").limit(FEATURES).collect()
+        top = by.where(F.greatest("one", "none") >= LEAST_DOCS).where(weight >= LEAST_ERRORS).orderBy(F.desc(weight), "f").collect()
         features = {r["f"]: i for i, r in enumerate(top)}
 
         def numbered(batches):
@@ -366,7 +459,7 @@ class ToxicityModel:
 
         def scored(batches):
             lm, known, weights, intercept = shared.value
-            cache = Features(lm, known)
+            cache = Features(lm, {f: i for f, i in known.items() if weights[i]})
             for b in _texts(batches):
                 z = [intercept + sum(weights[f] for f in sorted(cache.of(t or ""))) for t in b.column("text").to_pylist()]
                 s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
