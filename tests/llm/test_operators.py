@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from packlens.llm import decontam, jaccard, line_dedup, packing, pii, sharding, tokens, topk, toxicity, url_filter
+from packlens.llm.common import table
 from packlens.llm.components import connected_components
 from packlens.llm.queries import BPE, URL_RULES
 
@@ -141,6 +143,32 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(spark, df.limit(0), URL_RULES).count() == 0
 
 
+def test_configurations_beat_best_fit():
+    r = random.Random(1)
+    for draw in (lambda: r.choice([520, 650, 683, 690, 700, 900, 1000, 1025]), lambda: int(r.triangular(513, 1400, 700))):
+        counts = collections.Counter(draw() for _ in range(20_000))
+        plain = packing._Plan(2048, counts)
+        plain.best_fit()
+        runs, n = packing.plan_runs(counts, 2048)
+        assert n < 0.99 * plain.sequences
+        room = collections.Counter()
+        for length, _, count, first, _ in runs:
+            for k in range(count):
+                room[first + k] += length
+        assert max(room.values()) <= 2048 and set(room) == set(range(n))
+    mixed = collections.Counter(min(2048, int(r.expovariate(1 / 600)) + 1) for _ in range(20_000))
+    assert packing.plan_runs(mixed, 2048)[1] <= 1.001 * -(-sum(x * n for x, n in mixed.items()) // 2048) + 1
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    rows = [(i, u) for i, u in enumerate(["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://x.com/de/#a", "http://b.org", "no scheme", None, "http://a.net/" + "x" * 50_000, "http://x.com/de/#a"])]
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string")
+    want = sorted(map(repr, url_filter.judge_urls(spark, df, URL_RULES).collect()))
+    monkeypatch.setattr(url_filter, "MAX_BITS", 0)
+    assert sorted(map(repr, url_filter.judge_urls(spark, df, URL_RULES).collect())) == want
+    assert url_filter.judge_urls(spark, df.limit(0), URL_RULES).count() == 0
+
+
 def test_bloom_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
     listed = spark.range(0, 20_000, 7).selectExpr("concat('k', id) AS key")
@@ -381,6 +409,34 @@ def test_viterbi_decides_on_blanks_and_doubled_letters():
     assert cache.of("such a man is the table") == {"such", "a", "man", "is", "the", "table", "tabl*"}
 
 
+def test_skipped_tokens_hold_no_known_feature():
+    r = random.Random(3)
+    grams = collections.Counter(t for w in ("stupid", "idiot", "table", "like", "ill", "all") for t in ["^^" + w[0], "^" + w[:2], *[w[i : i + 3] for i in range(len(w) - 2)], w[-2:] + "^"])
+    model = toxicity.LanguageModel(grams)
+    known = {f: i for i, f in enumerate(["idiot", "idio*", "stup*", "stupid", "ll*", "il", "l1ke", "b2b", "a*", "ss*", "12-34", "12-3*", "o", "éaaa*"])}
+    cache = toxicity.Features(model, known)
+    pieces = ["i", "d", "1", "0", "o", "t", " ", " ", " ", "s", "5", "$", "u", "p", "!", "-", "l", "a", "4", "12-34", "id", "iot", "stup", "é", "³", "\u00a8", "\u200b"]
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 14)))
+        assert cache.of(text) == {known[f] for t in toxicity.tokens_of(text) for f in toxicity.features_of(toxicity.restore(t, model)) if f in known}, text
+
+
+def test_every_useful_feature_is_kept(spark):
+    words = ["".join(w) for w in itertools.product("bdfgklmnpr", "aeiou", "bdfgklmnpr", "aeiou", "st")]
+    rows = [(i, " ".join(words) if i % 2 else "nothing", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic long")
+    model = toxicity.ToxicityModel.train(odd_docs(spark, rows), labels)
+    assert set(words) <= set(model.features)
+
+
+def test_recall_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got.where("toxic in (0, 1)").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
 def test_language_model_keeps_every_trigram(spark):
     letters = [chr(0x4E00 + k) for k in range(100)]
     rows = [(i, " ".join([a + b] * (200 - i)), "s") for i, (a, b) in enumerate(zip(letters, letters[1:]))]
