@@ -31,7 +31,7 @@ SHORT = 4
 #: word beginnings; share of a row's features that a step of the fit leaves out, so that one word alone gets its weight too;
 #: what a weight other than 0 must explain, in documents.
 LEAST_DOCS, LEAST_ERRORS, STEMS, LEFT_OUT, LEAST_SHARE = 3, 3.0, (4, 5, 6, 7, 8), 0.3, 0.4
-TEXTS, FLUSH = 64, 100_000
+TEXTS, FLUSH, DENSE = 64, 100_000, 1 << 22
 
 # What a character may stand for beside itself, and the channel's costs in nats.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s"}
@@ -320,16 +320,37 @@ def _texts(batches):
             yield whole.slice(i, TEXTS)
 
 
-def _trigrams(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of counted words, as numbers of three times 21 bits, and their counts."""
-    kept = [(w, n) for w, n in ((w.strip(_STRIP), n) for w, n in words.items()) if w.isalpha()]
-    codes = np.frombuffer("".join([EDGE * 2 + w + EDGE for w, _ in kept]).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.array([len(w) + 3 for w, _ in kept], np.int64)
+def _trigrams(words: Counter) -> dict[str, int]:
+    """Trigrams of counted words. They are numbered by the letters at hand and added up in an array, if that is of bounded size."""
+    kept = [w for w in words if w.isalpha()]
+    times = [words[w] for w in kept]
+    for w, n in words.items():
+        if not w.isalpha() and (w := w.strip(_STRIP)).isalpha():
+            kept.append(w)
+            times.append(n)
+    if not kept:
+        return {}
+    codes = np.frombuffer((EDGE * 2 + (EDGE * 3).join(kept) + EDGE).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, kept), np.int64, len(kept))
+    ends = np.cumsum(sizes + 3)
     within = np.ones(len(codes), bool)
-    within[np.cumsum(sizes) - 1] = within[np.cumsum(sizes) - 2] = False
-    grams, which = np.unique((codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[within[:-2]], return_inverse=True)
-    times = np.repeat(np.array([n for _, n in kept], np.float64), sizes - 2)  # whole numbers below 2**53
-    return grams, np.bincount(which, times, len(grams)).astype(np.int64)
+    within[ends - 1] = within[ends - 2] = False
+    letters = np.flatnonzero(np.bincount(codes))
+    k = len(letters)
+    number = np.zeros(letters[-1] + 1, np.int64)
+    number[letters] = np.arange(k)
+    ids = number[codes]
+    keys = ((ids[:-2] * k + ids[1:-1]) * k + ids[2:])[within[:-2]]
+    weights = np.repeat(np.array(times, np.float64), sizes + 1)  # whole numbers below 2**53
+    if k**3 <= DENSE:
+        sums = np.bincount(keys, weights, k**3)
+        grams = np.flatnonzero(sums)
+        sums = sums[grams]
+    else:
+        grams, which = np.unique(keys, return_inverse=True)
+        sums = np.bincount(which, weights, len(grams))
+    name = [*map(chr, letters)]
+    return {name[g // k // k] + name[g // k % k] + name[g % k]: int(n) for g, n in zip(grams.tolist(), sums.tolist())}
 
 
 def _count_trigrams(batches):
@@ -337,13 +358,12 @@ def _count_trigrams(batches):
     grams: Counter = Counter()
 
     def add():
-        for g, n in zip(*(x.tolist() for x in _trigrams(words))):
-            grams[g] += n
+        if words:
+            grams.update(_trigrams(words))
         words.clear()
 
     def counted():
-        names = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in grams]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
     for b in _texts(batches):
         for t in b.column("text").to_pylist():
