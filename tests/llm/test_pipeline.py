@@ -101,3 +101,15 @@ def test_stages_take_empty_tables_and_extra_columns(spark):
     odd = spark.createDataFrame([(1, None, None, None, None, 0.1, "a"), (2, "", "en", "s", 0, 0.2, "b"), (2, "", "en", "s", 0, 0.2, "b"), (None, "some words", "en", "s", 9, None, None)], docs.schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).count() == 4
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    line = "the same line on every site"
+    rows = [(i, f"{line}\nown words of document {i} {'word ' * 30_000 if i == 3 else ''}", "en", f"s{i}", 9, 77, 88, 0.5, 0.25) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, N_lines int, n_removed int, toxicity double, component_id double")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4]
+        assert {(r.N_lines, r.n_removed, r.toxicity, r.component_id) for r in got} == {(77, 88, 0.5, 0.25)}
