@@ -73,14 +73,19 @@ def ship(spark: SparkSession) -> None:
         sc._packlens_shipped = True
 
 
-def tidied(task):
-    """A mapInArrow task that gives its memory back at its end: Python workers live on, and later stages share their executor."""
+def tidied(task, forget=None):
+    """A mapInArrow task that gives its memory back at its end: Python workers live on, and later stages share their executor.
+
+    ``forget`` empties what the task keeps in its module or its broadcast.
+    """
 
     @wraps(task)
     def run(batches):
         try:
             yield from task(batches)
         finally:
+            if forget is not None:
+                forget()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # glibc only

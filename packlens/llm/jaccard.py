@@ -55,6 +55,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, none gives none."""
     words = text.lower().split() if text else []  # bytes: A-Z and white space of ASCII only
@@ -269,7 +273,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signs = scratch.write(texts.mapInArrow(tidied(_signatures), "doc_id long, n long, fp long, tokens array<long>"))
+    signs = scratch.write(texts.mapInArrow(tidied(_signatures, _forget), "doc_id long, n long, fp long, tokens array<long>"))
     slim = scratch.write(signs.select("doc_id", "n", "fp"))
     known = "doc_id is not null and fp is not null"
 
@@ -340,7 +344,7 @@ def _search(scratch: Scratch, texts: DataFrame, first: DataFrame, units: DataFra
     wanted = scratch.write(listed.join(first.select("fp", "doc_id"), "fp").withColumnRenamed("fp", "want"))
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
     kind = dict(wanted.dtypes)["units"]
-    sets = picked.mapInArrow(tidied(_sets), f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
+    sets = picked.mapInArrow(tidied(_sets, _forget), f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
     ordered = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     return scratch.write(ordered.mapInArrow(tidied(_linked), "u long, v long"))
 

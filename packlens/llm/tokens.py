@@ -292,4 +292,4 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], b.schema.field("doc_id").type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, lambda: _ids(path).units.clear()), f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")

@@ -163,6 +163,11 @@ def tokens_of(text: str) -> list[str]:
     return [*tokens, *(r for r in runs if " " in r)]
 
 
+def _forget(model: LanguageModel) -> None:
+    model.known.clear()
+    _firm.cache_clear()
+
+
 def features_of(words: str) -> list[str]:
     return [f for word in words.split() for f in (word, *[word[:k] + "*" for k in STEMS if len(word) > k])]
 
@@ -450,7 +455,7 @@ class ToxicityModel:
                 fs = [sorted(cache.of(t or "")) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fs, pa.list_(pa.string()))], ["y", "fs"])
 
-        seen = scratch.write(rows.mapInArrow(tidied(featured), "y int, fs array<string>"))
+        seen = scratch.write(rows.mapInArrow(tidied(featured, lambda: _forget(shared.value)), "y int, fs array<string>"))
         n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         one, none = n.get(1, 0), n.get(0, 0)
         if not one or not none:
@@ -485,7 +490,7 @@ class ToxicityModel:
                 s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
-        return docs.mapInArrow(tidied(scored), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double")
+        return docs.mapInArrow(tidied(scored, lambda: _forget(shared.value[0])), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{out}` double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
