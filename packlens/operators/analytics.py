@@ -66,9 +66,12 @@ statement(
 
 def by_rule(d: Dialect, where: str = "true") -> str:
     order = "f.captured_at, f.scan_id, v.line, v.part, v.supp"
-    return f"""{with_facts(d)}, scored AS (SELECT f.brand, v.rule_id, v.rule_ref, v.severity, v.status, row_number() OVER (PARTITION BY v.rule_id ORDER BY {order}) AS seen
+    # Spark takes a rule's first verdict by an aggregate: a window would sort all verdicts of a rule in one task.
+    seen = f"struct({order}) AS seen" if d.spark else f"row_number() OVER (PARTITION BY v.rule_id ORDER BY {order}) AS seen"
+    first = "min_by({0}, seen)" if d.spark else "max(CASE WHEN seen = 1 THEN {0} END)"
+    return f"""{with_facts(d)}, scored AS (SELECT f.brand, v.rule_id, v.rule_ref, v.severity, v.status, {seen}
         FROM facts f JOIN verdicts v ON v.scan_id = f.scan_id WHERE v.counts AND {where}),
-    rules AS (SELECT rule_id, max(CASE WHEN seen = 1 THEN rule_ref END) AS rule_ref, max(CASE WHEN seen = 1 THEN severity END) AS severity,
+    rules AS (SELECT rule_id, {first.format("rule_ref")} AS rule_ref, {first.format("severity")} AS severity,
         count_if(status IN ('PASS', 'FAIL', 'REVIEW')) AS checked, count_if(status = 'FAIL') AS failed FROM scored GROUP BY rule_id),
     brands AS (SELECT rule_id, brand, n, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, brand) AS k FROM (SELECT rule_id, brand, count(*) AS n FROM scored WHERE status = 'FAIL' AND brand IS NOT NULL GROUP BY rule_id, brand) b0),
     top AS (SELECT rule_id, {d.joined("concat(brand, ':', n)", 'k')} AS top_brands FROM brands WHERE k <= 5 GROUP BY rule_id)

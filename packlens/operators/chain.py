@@ -32,7 +32,7 @@ def linked(d: Dialect) -> str:
 statement("h1_canonical_json", lambda d: f"SELECT o_orderkey, {canonical(d)} AS payload FROM <orders>")
 statement("h2_record_hash", lambda d: f"{linked(d)} SELECT id, digest FROM good")
 statement("h3_append", lambda d: f"{linked(d)} SELECT segment, max(seq) + 1 AS next_seq, {'max_by(content, seq)' if d.spark else 'arg_max(content, seq)'} AS prev FROM good GROUP BY segment")
-statement("h4_idempotent_append", lambda d: "SELECT DISTINCT event_id % 500 AS id FROM <events> WHERE event_id % 500 NOT IN (SELECT o_orderkey FROM <orders> WHERE o_orderkey < 100)")
+statement("h4_idempotent_append", lambda d: f"SELECT DISTINCT event_id % 500 AS id FROM <events> WHERE {d.absent('event_id % 500', 'o_orderkey', '<orders>', 'o_orderkey < 100')}")
 statement(
     "h5_verify",
     lambda d: f"""{linked(d)}, w AS (SELECT *, lag(seq) OVER (PARTITION BY segment ORDER BY seq) AS before_seq, lag(content) OVER (PARTITION BY segment ORDER BY seq) AS before FROM records),

@@ -59,7 +59,7 @@ statement("j1_left_outer", lambda d: f"{with_facts(d)} SELECT scan_id, sku_id, b
 statement("j2_semi", lambda d: SEMI.format(facts=with_facts(d), where="status = 'FAIL' AND severity = 'high' AND rule_id = 'RULE-1'"))
 statement("j3_nested_verdicts", lambda d: f"""{with_facts(d)} SELECT scan_id, {d.joined("concat(rule_id, '=', status)", "line, part, supp")} AS verdicts, count(*) AS n FROM verdicts GROUP BY scan_id""")
 statement("j4_outstanding_reviews", lambda d: f"{with_resolved(d)} SELECT DISTINCT v.scan_id, v.rule_id FROM verdicts v LEFT JOIN resolved r ON r.scan_id = v.scan_id AND r.rule_id = v.rule_id WHERE v.human AND r.scan_id IS NULL")
-statement("j5_pruned_keys", lambda d: "SELECT s_suppkey FROM <supplier> WHERE s_suppkey NOT IN (SELECT l_suppkey FROM <lineitem> WHERE l_returnflag = 'R' AND l_quantity > 49)")
+statement("j5_pruned_keys", lambda d: f"SELECT s_suppkey FROM <supplier> WHERE {d.absent('s_suppkey', 'l_suppkey', '<lineitem>', "l_returnflag = 'R' AND l_quantity > 49")}")
 statement("j6_lookup", lambda d: f"{with_facts(d)} SELECT v.scan_id, v.line, v.part, v.supp, t.clause FROM verdicts v JOIN (VALUES ('Rule 1', '6(1)(a)'), ('Rule 2', '6(1)(b)'), ('Rule 3', '6(1)(c)'), ('Rule 4', '7(2)')) t(rule_ref, clause) ON t.rule_ref = v.rule_ref")
 statement("j7_band", lambda d: "SELECT p_partkey, p_size * 25 AS quantity, b.mm FROM <part> JOIN (VALUES (0, 200, 1.0), (200, 500, 2.0), (500, 1000000000, 4.0)) b(lo, hi, mm) ON p_size * 25 > b.lo AND p_size * 25 <= b.hi")
 statement("j10_box_overlap", lambda d: """WITH boxes AS (SELECT l_orderkey AS frame, l_linenumber AS id, l_partkey AS part, l_suppkey AS supp, l_quantity AS x, l_quantity * 2 AS y, 10.0 + l_linenumber AS w, 12.0 AS h FROM <lineitem>)
@@ -103,7 +103,7 @@ statement("k9_percentile_cutoffs", lambda d: f"WITH c AS (SELECT {d.quantile('l_
 statement("u1_union_of_frames", lambda d: f"SELECT conv_id, count(*) AS frames, {d.joined('text', 'turn', ' / ')} AS raw_text FROM (SELECT conv_id, turn, text FROM <conversations> WHERE role = 'user' UNION ALL SELECT conv_id, turn, text FROM <conversations> WHERE role <> 'user') f GROUP BY conv_id")
 statement("u2_set_difference", lambda d: "SELECT l_partkey AS k, 'both' AS side FROM <lineitem> WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey, 'both' FROM <lineitem> WHERE l_returnflag = 'R' UNION ALL (SELECT l_partkey, 'first' FROM <lineitem> WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, 'first' FROM <lineitem> WHERE l_returnflag = 'R')")
 statement("u3_line_set_diff", lambda d: f"SELECT lower(text) AS line FROM <conversations> WHERE conv_id % 2 = 0 EXCEPT SELECT lower(text) FROM <conversations> WHERE conv_id % 2 = 1")
-statement("u4_upsert_then_prune", lambda d: "WITH new AS (SELECT s_suppkey + 5 AS k, s_acctbal AS v FROM <supplier>), old AS (SELECT s_suppkey AS k, 0.0 AS v FROM <supplier>) SELECT k, CAST(v AS DOUBLE) AS v FROM new UNION ALL SELECT k, CAST(v AS DOUBLE) FROM old WHERE k NOT IN (SELECT k FROM new) AND k % 2 = 0")
+statement("u4_upsert_then_prune", lambda d: "WITH new AS (SELECT s_suppkey + 5 AS k, s_acctbal AS v FROM <supplier>), old AS (SELECT s_suppkey AS k, 0.0 AS v FROM <supplier>) SELECT k, CAST(v AS DOUBLE) AS v FROM new UNION ALL SELECT k, CAST(v AS DOUBLE) FROM old WHERE " + d.absent("old.k", "k", "new") + " AND k % 2 = 0")
 statement("u5_union_all", lambda d: "SELECT n_name AS name, 'nation' AS kind FROM <nation> UNION ALL SELECT r_name, 'region' FROM <region>")
 statement("u6_considered", lambda d: f"WITH {RANKS} SELECT count(*) AS considered FROM (SELECT key FROM lexical UNION SELECT key FROM dense) u")
-statement("u7_replace_by_key", lambda d: "WITH fresh AS (SELECT c_custkey AS k, c_acctbal AS v FROM <customer> WHERE c_custkey % 10 = 3) SELECT o_custkey AS k, o_totalprice AS v FROM <orders> WHERE o_custkey NOT IN (SELECT k FROM fresh) UNION ALL SELECT k, v FROM fresh")
+statement("u7_replace_by_key", lambda d: "WITH fresh AS (SELECT c_custkey AS k, c_acctbal AS v FROM <customer> WHERE c_custkey % 10 = 3) SELECT o_custkey AS k, o_totalprice AS v FROM <orders> WHERE " + d.absent("o_custkey", "k", "fresh") + " UNION ALL SELECT k, v FROM fresh")

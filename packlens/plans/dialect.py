@@ -72,6 +72,10 @@ class Dialect:
     def plus_days(self, d: str, n: str) -> str:
         return f"date_add({d}, {n})" if self.spark else f"CAST({d} + to_days(CAST({n} AS INTEGER)) AS DATE)"
 
+    def absent(self, x: str, key: str, of: str, where: str = "true") -> str:
+        """Whether ``x`` is no ``key`` of a relation. Spark joins this by shuffle or checked broadcast; NOT IN always broadcasts."""
+        return f"NOT EXISTS (SELECT 1 FROM {of} gone WHERE {where} AND gone.{key} = {x})" if self.spark else f"{x} NOT IN (SELECT {key} FROM {of} WHERE {where})"
+
     def bits(self, x: str) -> str:
         return f"bit_count({x})"
 
