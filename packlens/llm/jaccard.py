@@ -36,8 +36,10 @@ from packlens.llm.components import connected_components
 SHINGLE = 5
 #: A set of n shingles is expected to share n // SHARE more of its lowest hashes than linking needs.
 SHARE = 8
-#: Shingles of a chunk of a block; ids up to which the texts of blocks are picked by a broadcast.
-BLOCK_SHINGLES, BROADCAST_IDS = 250_000, 1_000_000
+#: Shingles of a chunk of a block.
+BLOCK_SHINGLES = 250_000
+#: Bits an id and at most (4 MB) of the filter that picks the texts of blocks; a full one passes more texts to the join.
+ID_BITS, MAX_BITS = 10, 32 << 20
 #: Texts handled at once, distinct words whose hashes a worker keeps, weight of a probe in DivideSkip.
 TEXTS, WORDS, MU = 64, 200_000, 0.0085
 
@@ -342,13 +344,36 @@ def _search(scratch: Scratch, texts: DataFrame, first: DataFrame, units: DataFra
     """Links (u, v) found in ``units`` (fp, block, i, j, side): the rows of one (block, i, j) are searched by one task."""
     listed = units.groupBy("fp").agg(F.collect_list(F.struct("block", "i", "j", "side")).alias("units"))
     wanted = scratch.write(listed.join(first.select("fp", "doc_id"), "fp").withColumnRenamed("fp", "want"))
-    picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+    picked = _likely(texts, wanted).join(wanted, "doc_id")  # units grow with a block's chunks: they aren't broadcast
     kind = dict(wanted.dtypes)["units"]
     sets = picked.mapInArrow(tidied(_sets, _forget), f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
     ordered = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     return scratch.write(ordered.mapInArrow(tidied(_linked), "u long, v long"))
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id may stand in ``wanted``, by a Bloom filter of bounded size: none that does is missing."""
+    bits = min(MAX_BITS, max(64, -(-ID_BITS * wanted.count() // 64) * 64))
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(2)]
+    at = wanted.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    found = at.agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("set")).toArrow()  # at most MAX_BITS / 64 rows
+    words = np.zeros(bits // 64, np.int64)
+    words[found["word"].to_numpy()] = found["set"].to_numpy()
+    kept = texts.sparkSession.sparkContext.broadcast(words)
+    return texts.select("doc_id", "text", *[p.alias(f"at{i}") for i, p in enumerate(places)]).mapInArrow(tidied(_passing(kept)), texts.schema)
+
+
+def _passing(kept):
+    def task(batches):
+        words = kept.value
+        for b in batches:
+            at = [b.column(c).to_numpy() for c in ("at0", "at1")]
+            hit = np.logical_and(*[words[x >> 6] >> (x & 63) & 1 == 1 for x in at])
+            yield b.select(["doc_id", "text"]).filter(pa.array(hit))
+
+    return task
+
+
 def _sets(batches):
     for whole in batches:
         for i in range(0, whole.num_rows, TEXTS):

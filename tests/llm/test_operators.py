@@ -280,6 +280,33 @@ def test_jaccard_join(spark, monkeypatch, chunk):
     assert jaccard.similar_documents(odd_docs(spark, [])).count() == 0
 
 
+def linked_windows(n):
+    """Overlapping windows of one text, which meet in one block without a link, and a near copy of every tenth."""
+    words = [f"w{k}" for k in range(28 * n + 120)]
+    rows = [(i, " ".join(words[28 * i : 28 * i + 114]), "s") for i in range(n)]
+    return rows + [(1000 + i, f"{t} more", s) for i, t, s in rows[::10]]
+
+
+def test_jaccard_join_broadcasts_no_table(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 1000)
+    rows = linked_windows(60)
+    for k, v in (("spark.sql.maxBroadcastTableSize", "20k"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(k, v)
+    try:
+        got = jaccard.similar_documents(odd_docs(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == groups_of(rows)
+
+
+def test_a_full_id_filter_loses_no_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_BITS", 64)
+    rows = linked_windows(60)
+    got = jaccard.similar_documents(odd_docs(spark, rows)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == groups_of(rows)
+
+
 def test_divide_skip_search_finds_all():
     r = random.Random(9)
     index, sets = jaccard.Index(), []

@@ -8,11 +8,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from packlens.llm import decontam, toxicity
+from packlens.llm import decontam, jaccard, toxicity
 from packlens.llm.common import table
 from packlens.llm.queries import BPE, MIN_SITES
 
-from .test_operators import LOW, groups_of
+from .test_operators import LOW, groups_of, linked_windows
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -113,3 +113,17 @@ def test_stages_keep_columns_named_like_their_own(spark):
         got = out.collect()
         assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4]
         assert {(r.N_lines, r.n_removed, r.toxicity, r.component_id) for r in got} == {(77, 88, 0.5, 0.25)}
+
+
+def test_large_blocks_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 50)  # one block of over 350 chunks: 3 MB of units
+    rows = [(*r, "en", len(r[1])) for r in linked_windows(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    for k, v in (("spark.sql.maxBroadcastTableSize", "1200k"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(k, v)
+    try:
+        got = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.doc_id for r in got) == list(range(150))
