@@ -60,6 +60,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark removes the shuffle files of plans that are gone, not before."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a Spark context."""
     sc = spark.sparkContext

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import Scratch, ship, tidied
+from packlens.llm.common import Scratch, release, ship, tidied
 from packlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -280,12 +280,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     known = "doc_id is not null and fp is not null"
 
     # Classes whose prefixes share tokens with other classes.
-    postings = signs.where(known).select("fp", F.explode("tokens").alias("token"))
+    postings = signs.where(known).select("fp", F.explode("tokens").alias("token")).repartition("token")  # shuffled once, read twice
     token = postings.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("df")).where("a <> b").select("token", "df")
     meeting = postings.join(token, "token").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
     first = slim.where(known).groupBy("fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     shared = scratch.write(_enough(meeting.join(first, "fp")))
     scratch.drop(signs)
+    release(spark)
 
     # Each class with the leader that it meets most often.
     kept = _rarest(shared)
@@ -297,6 +298,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     leaders = parts.select(F.col("block").alias("fp"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"))
     units = members.union(leaders).select("fp", "block", "i", F.col("i").alias("j"), F.lit(0).alias("side"))
     links = _search(scratch, texts, first, units)
+    release(spark)
 
     # What still meets across components goes to blocks.
     label = links.groupBy("u").agg(F.min("v").alias("v"))
