@@ -346,7 +346,7 @@ def _search(scratch: Scratch, texts: DataFrame, first: DataFrame, units: DataFra
     """Links (u, v) found in ``units`` (fp, block, i, j, side): the rows of one (block, i, j) are searched by one task."""
     listed = units.groupBy("fp").agg(F.collect_list(F.struct("block", "i", "j", "side")).alias("units"))
     wanted = scratch.write(listed.join(first.select("fp", "doc_id"), "fp").withColumnRenamed("fp", "want"))
-    picked = _likely(texts, wanted).join(wanted, "doc_id")  # units grow with a block's chunks: they aren't broadcast
+    picked = _likely(texts, wanted).hint("merge").join(wanted, "doc_id")  # units grow with chunks; a shuffle also keeps two Python workers out of one task
     kind = dict(wanted.dtypes)["units"]
     sets = picked.mapInArrow(tidied(_sets, _forget), f"fp long, units {kind}, data binary").select("fp", "data", F.explode("units").alias("unit")).select("unit.*", "fp", "data")
     ordered = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
