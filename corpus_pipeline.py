@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes a stage's
-rows as Parquet to the shared folder and reads them again, so a lost executor never repeats earlier stages. All stages
-but the last return the columns of documents. Null and empty texts pass the filters; empty tables pass as such.
+rows as Parquet to the shared folder and reads them again, so a lost executor never repeats earlier stages. Before a
+stage starts, executors give back the heap that earlier ones grew. All stages but the last return the columns of
+documents. Null and empty texts pass the filters; empty tables pass as such.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.llm import decontam, jaccard, line_dedup, packing, toxicity
-from packlens.llm.common import Scratch, table, without
+from packlens.llm.common import Scratch, release, table, without
 from packlens.llm.queries import BPE, MIN_SITES
 
 #: SQL can't express tokenisers, trained models and similarity joins: tests hold each stage against brute force.
@@ -31,7 +32,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts get the score of no words. Repeated rows get one score, texts of any length are read whole, columns
     of any name stay as they are, an empty table stays empty.
     """
+    release(spark)
     model = toxicity.ToxicityModel.train(docs, table(spark, sf_dir, "labels"))
+    release(spark)
     score = _spare(docs, "toxicity")
     return model.score(docs, score).where(F.col(score) < 0.5).select(docs.columns)
 
@@ -43,6 +46,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and all keep it). Null and empty texts stay as they are, texts of any length are read whole, columns named like the
     operator's own (n_lines, n_removed) keep their values, an empty table stays empty.
     """
+    release(spark)
     own = {c: _spare(docs, f"_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
     clean = line_dedup.dedup_lines(docs.withColumnsRenamed(own), MIN_SITES)
     clean = clean.where("n_removed = 0 or trim(text) <> ''")
@@ -57,6 +61,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document is its doc_id: rows that share the smallest one all stay, rows without doc_id or without words are in no group
     and stay. Texts of any length are compared whole, columns of any name stay as they are, an empty table stays empty.
     """
+    release(spark)
     groups = Scratch(spark).write(jaccard.similar_documents(docs))
     return without(docs, groups.where("component_id <> doc_id")).select(docs.columns)
 
@@ -67,6 +72,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document is its doc_id: all rows of one go if one holds a window; rows without doc_id stay. Null and wordless texts stay,
     texts of any length are read whole, columns of any name stay as they are, an empty table stays empty.
     """
+    release(spark)
     leaks = Scratch(spark).write(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), 10))
     return without(docs, leaks.where("contaminated")).select(docs.columns)
 
@@ -77,6 +83,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is one piece, the end id; repeated rows are packed each, and which of equal pieces takes which place
     is a tie that any order settles; texts of any length are cut into full pieces; an empty table gives no rows.
     """
+    release(spark)
     return packing.pack_documents(docs, BPE, 2048)
 
 

@@ -61,9 +61,18 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: Spark removes the shuffle files of plans that are gone, not before."""
+    """Have the driver and the executors collect their garbage.
+
+    Spark removes the shuffle files of plans that are gone when the driver does, not before. An executor's heap grows with
+    garbage up to its limit and stays so; collected, it goes back to the system and leaves room for Python workers.
+    One task goes to each core; on a busy cluster an executor may get none and keeps its heap.
+    """
+    sc = spark.sparkContext
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc._jvm.System.gc()
+    if not sc.master.startswith("local["):  # else driver and executors are one process
+        n = sc.defaultParallelism
+        spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def ship(spark: SparkSession) -> None:

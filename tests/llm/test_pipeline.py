@@ -1,9 +1,13 @@
 """The pipeline's stages, each on what its predecessor kept, against brute force; and run() against the chain of them."""
 
 import collections
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pyspark
 import pytest
 from tokenizers import Tokenizer
 
@@ -127,3 +131,55 @@ def test_large_blocks_are_not_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(r.doc_id for r in got) == list(range(150))
+
+
+#: Prints the MB that an executor holds with dead rows on its heap, and after release().
+HELD = """
+import os
+from pathlib import Path
+from pyspark.sql import SparkSession
+from packlens.llm.common import release
+
+def held(_):
+    daemon = Path(f"/proc/{os.getppid()}/status").read_text().split("PPid:")[1].split()[0]
+    return int(Path(f"/proc/{daemon}/status").read_text().split("VmRSS:")[1].split()[0]) // 1024
+
+conf = {"spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.executor.memory": "1g", "spark.sql.inMemoryColumnarStorage.compressed": "false"}
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config(map=conf).getOrCreate()
+rows = spark.range(0, 40_000_000, 1, 4).cache()
+rows.count()
+rows.unpersist(True)
+size = lambda: spark.sparkContext.parallelize([0], 1).map(held).collect()[0]
+before = size()
+release(spark)
+print("held", before, size(), flush=True)
+os._exit(0)
+"""
+
+
+def test_release_shrinks_the_heap_of_executors(tmp_path):
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    home = tmp_path / "home"  # executors log to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    spark_home = os.path.dirname(pyspark.__file__)
+    for name in os.listdir(spark_home):
+        if name != "work":
+            (home / name).symlink_to(f"{spark_home}/{name}")
+    env = os.environ | {"PYTHONPATH": top, "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", HELD], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    before, after = map(int, re.search(r"held (\d+) (\d+)", out.stdout).groups())
+    assert after < before - 200, (before, after)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_release_memory_first(name, stage, monkeypatch):
+    class Released(Exception):
+        pass
+
+    def release(_):
+        raise Released
+
+    monkeypatch.setattr(corpus_pipeline, "release", release)
+    with pytest.raises(Released):
+        stage(None, None, SF)
