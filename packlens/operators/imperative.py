@@ -22,21 +22,21 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_tax") * 500).alias("y"))
 
 
+#: Pairs of a label and a value of one scan, nearest first; a pair without a distance is the last.
+PAIRS = """array_sort(flatten(transform(labels, (a, i) -> transform(`values`, (b, j) ->
+    struct(coalesce(abs(a.x - b.x) + abs(a.y - b.y), double('NaN')) AS d, a.line AS label, a.l_partkey, a.l_suppkey, b.line AS value, b.l_partkey AS p, b.l_suppkey AS s, i, j)))))"""
+TAKEN = "struct<d double, label int, value int, i int, j int>"
+
+
 @query("j11_greedy_matching")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest label and value first, each used once; ties by line. A scan at a time."""
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        labels, values = group[group["line"] % 2 == 1], group[group["line"] % 2 == 0]
-        pairs = sorted((abs(a.x - b.x) + abs(a.y - b.y), a.line, a.l_partkey, b.line, b.l_partkey, i, j) for i, a in labels.iterrows() for j, b in values.iterrows())
-        used, out = set(), []
-        for d, la, _, lb, _, i, j in pairs:
-            if ("a", i) not in used and ("b", j) not in used:
-                used |= {("a", i), ("b", j)}
-                out.append((group["scan_id"].iloc[0], la, lb, d))
-        return pd.DataFrame(out, columns=["scan_id", "label", "value", "distance"])
-
-    return boxes(spark, sf_dir).groupBy("scan_id").applyInPandas(match, "scan_id long, label int, value int, distance double")
+    """Nearest label and value first, each used once; ties by line, part and supplier. A scan is one row while it is matched."""
+    box = F.struct("line", "l_partkey", "l_suppkey", "x", "y")
+    sides = [F.array_sort(F.collect_list(F.when(F.pmod("line", F.lit(2)) == odd, box))).alias(name) for odd, name in ((1, "labels"), (0, "values"))]
+    scans = boxes(spark, sf_dir).groupBy("scan_id").agg(*sides)
+    free = "NOT exists(taken, t -> t.i = p.i OR t.j = p.j)"
+    greedy = f"aggregate({PAIRS}, CAST(array() AS array<{TAKEN}>), (taken, p) -> CASE WHEN {free} THEN array_append(taken, struct(p.d, p.label, p.value, p.i, p.j)) ELSE taken END)"
+    return scans.selectExpr("scan_id", f"inline({greedy})").selectExpr("scan_id", "label", "value", "nullif(d, double('NaN')) AS distance")
 
 
 statement("j8_nearest_within_radius", lambda d: "SELECT a.c_custkey, min(abs(a.c_acctbal - b.s_acctbal)) AS distance FROM <customer> a JOIN <supplier> b ON a.c_nationkey = b.s_nationkey AND abs(a.c_acctbal - b.s_acctbal) <= 500 GROUP BY a.c_custkey")
