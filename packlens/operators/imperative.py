@@ -6,7 +6,7 @@ Groups are one scan or one conversation, so a task holds one small group at a ti
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packlens.operators.matching import hamming_pairs, hashes
@@ -146,19 +146,17 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e9_address_continuation")
 def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that continue the address above: the cursor moves from line to line, eight at most."""
-
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["line", "l_partkey", "l_suppkey"])
-        out, cursor, run, n = [], None, 0, 0
-        for r in g.itertuples():
-            if cursor is None or abs(r.x - cursor) > 20 or n >= 8:
-                run, n = run + 1, 0
-            cursor, n = r.x, n + 1
-            out.append((r.scan_id, r.line, run))
-        return pd.DataFrame(out, columns=["scan_id", "line", "run"])
-
-    return boxes(spark, sf_dir).groupBy("scan_id").applyInPandas(follow, "scan_id long, line int, run int")
+    """Lines that continue the address above: the cursor moves from line to line, eight at most.
+
+    A line too far from the one above opens a stretch; within it every eighth line opens a run.
+    """
+    above = Window.partitionBy("scan_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("line", "l_partkey", "l_suppkey", "x")])
+    step = F.col("x") - F.lag("x").over(above)
+    far = F.coalesce((F.abs(step) > 20) & ~F.isnan(step), F.lit(False))
+    upto = above.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = boxes(spark, sf_dir).withColumn("k", F.row_number().over(above)).withColumn("far", far)
+    at = at.withColumn("since", F.col("k") - F.max(F.when((F.col("k") == 1) | F.col("far"), F.col("k"))).over(upto))
+    return at.select("scan_id", "line", F.count(F.when(F.col("since") % 8 == 0, 1)).over(upto).cast("int").alias("run"))
 
 
 statement("e10_unwelded_values", lambda d: "SELECT id, 1 AS piece, 'quantity' AS field, split_part(text, ' MRP', 1) AS text FROM (SELECT p_partkey AS id, concat('Net Wt. ', p_size, ' g MRP Rs. 5') AS text FROM <part>) a UNION ALL SELECT id, 2, 'mrp', concat('MRP', split_part(text, 'MRP', 2)) FROM (SELECT p_partkey AS id, concat('Net Wt. ', p_size, ' g MRP Rs. 5') AS text FROM <part>) b")

@@ -47,3 +47,19 @@ def test_greedy_matching_is_native_and_takes_the_nearest_free_pair(spark, lineit
                 used |= {i, j}
                 want.append((scan, x[0], y[0], None if d == far else d))
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
+
+
+def test_address_runs_are_native_and_hold_eight_lines_at_most(spark, lineitem):
+    rows = [(k, n, 1, 1, x, 1.0, 0.0) for k, xs in enumerate(([5.0] * 20, [5.0, 30.0, 31.0, None, 90.0, 91.0], [float(n % 3 * 15) for n in range(40)])) for n, x in enumerate(xs)]
+    df = QUERIES["e9_address_continuation"](spark, lineitem(rows))
+    assert "InPandas" not in plan(df)
+    want = []
+    for scan in range(3):
+        cursor, run, n = None, 0, 0
+        for _, line, _, _, x, _, _ in sorted(r for r in rows if r[0] == scan):
+            x = float("nan") if x is None else x
+            if cursor is None or abs(x - cursor) > 20 or n >= 8:
+                run, n = run + 1, 0
+            cursor, n = x, n + 1
+            want.append((scan, line, run))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
