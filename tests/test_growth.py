@@ -63,3 +63,17 @@ def test_address_runs_are_native_and_hold_eight_lines_at_most(spark, lineitem):
             cursor, n = x, n + 1
             want.append((scan, line, run))
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_quantiles_hold_no_more_than_a_sketch(spark, lineitem, monkeypatch):
+    from packlens.operators import quantiles as module
+
+    monkeypatch.setattr(module, "SMALL", 3)
+    r = random.Random(3)
+    for values in ([float(r.randint(0, 9)) for _ in range(500)], [r.lognormvariate(0, 40) for _ in range(3000)], [1.0] * 900 + [2.0] * 100, [5.0, None, float("nan"), -1.0], [None], []):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        shares = [0.0, 0.05, 0.1, 0.5, 0.899, 0.9, 1.0]
+        want = df.selectExpr(*[f"percentile(x, {p}D)" for p in shares]).first()
+        assert repr(module.quantiles(df, "x", shares)) == repr(list(want))
+    df = QUERIES["k9_percentile_cutoffs"](spark, lineitem([(k, 1, k, 1, float(k % 50), float(k), 0.0) for k in range(2000)]))
+    assert "percentile" not in plan(df) and df.count() == 40
