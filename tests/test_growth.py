@@ -77,3 +77,9 @@ def test_quantiles_hold_no_more_than_a_sketch(spark, lineitem, monkeypatch):
         assert repr(module.quantiles(df, "x", shares)) == repr(list(want))
     df = QUERIES["k9_percentile_cutoffs"](spark, lineitem([(k, 1, k, 1, float(k % 50), float(k), 0.0) for k in range(2000)]))
     assert "percentile" not in plan(df) and df.count() == 40
+
+
+def test_profile_needs_no_map_of_all_values(spark, lineitem):
+    df = QUERIES["a19_profile_percentiles"](spark, lineitem([(k, 1, k, 1, 1.0, float(k), 0.0) for k in range(1001)]))
+    assert "percentile" not in plan(df)
+    assert tuple(df.first()) == (50.0, 100.0, 250.0, 500.0, 750.0, 950.0)
