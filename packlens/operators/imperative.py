@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from packlens.operators.matching import hamming_pairs, hashes
 from packlens.plans.dialect import statement
-from packlens.plans.lineage import cut
 from packlens.plans.registry import query
 from packlens.sources.facts import with_facts
 
@@ -124,18 +123,13 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e7_merged_lines")
 def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that stand close in one row are one line: pairs by equi-join on the scan, then smallest labels."""
-    b = boxes(spark, sf_dir).withColumn("id", F.xxhash64("scan_id", "line", "l_partkey", "l_suppkey"))
-    a = b.select(*[F.col(c).alias(f"{c}_a") if c != "scan_id" else F.col(c) for c in b.columns])
-    near = cut(a.join(b, "scan_id").where("id_a <> id and abs(x_a - x) <= 6 and abs(y_a - y) <= 8").select("id_a", "id"))
-    labels = cut(b.select("id", F.col("id").alias("grp")))
-    while True:
-        least = near.join(labels, "id").groupBy("id_a").agg(F.min("grp").alias("g")).withColumnRenamed("id_a", "id")
-        new = cut(labels.join(least, "id", "left").select("id", F.least("grp", "g").alias("grp")))
-        if new.join(labels.toDF("id", "old"), "id").where("grp <> old").isEmpty():
-            break
-        labels = new
-    return b.join(new, "id").groupBy("scan_id", "grp").agg(F.count(F.lit(1)).alias("boxes"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).drop("grp")
+    """Boxes that stand close in one row of a scan are one line. A box joins all lines it is close to; a box of no scan stands alone."""
+    alone = F.when(F.col("scan_id").isNull(), F.monotonically_increasing_id())
+    scans = boxes(spark, sf_dir).withColumn("alone", alone).groupBy("scan_id", "alone").agg(F.collect_list(F.struct("x", "y")).alias("boxes"))
+    near = "exists(l, c -> coalesce(abs(c.x - b.x) <= 6 AND abs(c.y - b.y) <= 8, false))"
+    joined = f"concat(filter(lines, l -> NOT {near}), array(concat(array(b), flatten(filter(lines, l -> {near})))))"
+    lines = scans.selectExpr("scan_id", f"explode(aggregate(boxes, CAST(array() AS array<array<struct<x double, y double>>>), (lines, b) -> {joined})) AS l")
+    return lines.selectExpr("scan_id", "CAST(size(l) AS BIGINT) AS boxes", "array_min(l.x) AS x0", "array_max(l.x) AS x1", "array_min(l.y) AS y0", "array_max(l.y) AS y1")
 
 
 @query("e8_label_values")

@@ -83,3 +83,20 @@ def test_profile_needs_no_map_of_all_values(spark, lineitem):
     df = QUERIES["a19_profile_percentiles"](spark, lineitem([(k, 1, k, 1, 1.0, float(k), 0.0) for k in range(1001)]))
     assert "percentile" not in plan(df)
     assert tuple(df.first()) == (50.0, 100.0, 250.0, 500.0, 750.0, 950.0)
+
+
+def test_merged_lines_stay_in_one_row_a_scan(spark, lineitem):
+    rows = some_lines(scans=30, most=12) + [(None, 1, 1, 1, 5.0, 1.0, 0.0), (None, 2, 1, 1, 5.0, 1.0, 0.0)]
+    df = QUERIES["e7_merged_lines"](spark, lineitem(rows))
+    assert "Join" not in plan(df)
+    want = []
+    for n, scan in enumerate(sorted({r[0] for r in rows if r[0] is not None}) + [None, None]):
+        left = [(r[4], r[6] * 500) for r in rows if r[0] == scan] if scan is not None else [(5.0, 0.0)]
+        while left:
+            line = [left.pop()]
+            for a in line:
+                near = [i for i, b in enumerate(left) if a[0] is not None and b[0] is not None and abs(a[0] - b[0]) <= 6 and abs(a[1] - b[1]) <= 8]
+                line += [left.pop(i) for i in reversed(near)]
+            xs, ys = [x for x, _ in line if x is not None] or [None], [y for _, y in line]
+            want.append((scan, len(line), min(xs), max(xs), min(ys), max(ys)))
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
