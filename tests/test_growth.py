@@ -100,3 +100,14 @@ def test_merged_lines_stay_in_one_row_a_scan(spark, lineitem):
             xs, ys = [x for x, _ in line if x is not None] or [None], [y for _, y in line]
             want.append((scan, len(line), min(xs), max(xs), min(ys), max(ys)))
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_space_repair_takes_a_document_at_a_time(spark, tmp_path, repeated):
+    texts = [(1, "Under stand understand UNDERSTAND under, stood"), (2, "a b ab abab ab"), (3, None), (4, ""), (None, "to day today today"), (5, "x y xy é xy; y"), (6, "a b")]
+    texts += [(6, "ab ab")] if repeated else []
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["r14_space_repair"](spark, str(tmp_path))
+    assert "Join" not in plan(df) and df.schema.simpleString() == "struct<doc_id:bigint,a:string,b:string,m:string>"
+    want = {(2, "a", "b", "ab")} | ({(6, "a", "b", "ab")} if repeated else set())
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
