@@ -111,3 +111,20 @@ def test_space_repair_takes_a_document_at_a_time(spark, tmp_path, repeated):
     assert "Join" not in plan(df) and df.schema.simpleString() == "struct<doc_id:bigint,a:string,b:string,m:string>"
     want = {(2, "a", "b", "ab")} | ({(6, "a", "b", "ab")} if repeated else set())
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["g3_evidence_plan", "g5_suppression", "g6_compliance", "rules_engine"])
+def test_verdicts_of_a_label_share_its_row(spark, tmp_path, name):
+    import duckdb
+
+    r = random.Random(5)
+    rows = [(k, "anvil", f"Brand#{k % 25}", r.choice(["ECONOMY", "STANDARD", "PROMO", "MEDIUM"]), r.randint(1, 50), 9.5 + k) for k in range(300)]
+    rows += [(k // 3 if k % 5 else None, "anvil", "Brand#1", "STANDARD", k % 50 + 1, 20.0) for k in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert "Join" not in plan(df)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = db.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(repr(tuple(x)) for x in df.select(*columns).collect()) == sorted(map(repr, want.fetchall()))
