@@ -128,3 +128,27 @@ def test_verdicts_of_a_label_share_its_row(spark, tmp_path, name):
     want = db.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(repr(tuple(x)) for x in df.select(*columns).collect()) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["f5_severity_floor", "f6_rule_id", "f9_independent_predicates", "j2_semi"])
+def test_conditions_on_verdicts_take_one_aggregate(spark, tmp_path, name):
+    import duckdb
+
+    r = random.Random(11)
+    keys = [*range(60), *range(5), None]
+    tables = {
+        "orders": ([(k, r.randint(0, 9), "O", 1.0, "1-URGENT") for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"),
+        "lineitem": ([(r.choice(keys), r.randint(0, 9), 1, r.randint(1, 4), float(r.randint(1, 50)), r.choice([0.0, 0.09, None]), r.choice([0.0, 0.07]), r.choice("RAN"), r.choice("OF")) for _ in range(900)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"),
+        "customer": ([(k % 8, k % 3) for k in range(11)], "c_custkey long, c_nationkey int"),
+        "nation": ([(0, "A"), (1, "B"), (1, "C")], "n_nationkey int, n_name string"),
+        "part": ([(k % 7, "Brand#1", "PROMO", 1) for k in range(9)], "p_partkey long, p_brand string, p_type string, p_size int"),
+    }
+    db = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema).selectExpr("*", *["timestamp_ntz'2024-05-06' AS o_orderdate"] * (t == "orders"))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert "LeftSemi" not in plan(df)
+    want = db.execute(registry.oracle_sql()[name]).fetchall()
+    assert want and sorted(r.scan_id for r in df.collect()) == sorted(k for k, in want)
