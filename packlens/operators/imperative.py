@@ -38,7 +38,15 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.selectExpr("scan_id", f"inline({greedy})").selectExpr("scan_id", "label", "value", "nullif(d, double('NaN')) AS distance")
 
 
-statement("j8_nearest_within_radius", lambda d: "SELECT a.c_custkey, min(abs(a.c_acctbal - b.s_acctbal)) AS distance FROM <customer> a JOIN <supplier> b ON a.c_nationkey = b.s_nationkey AND abs(a.c_acctbal - b.s_acctbal) <= 500 GROUP BY a.c_custkey")
+#: A value's nearest within 500 is in its own bin of 1,000 or at the edge of the next: bins borrow these edges, and both sides hold each value once.
+NEAREST = """WITH a AS (SELECT DISTINCT c_nationkey AS n, CAST(floor(c_acctbal / 1000) AS DOUBLE) AS bin, c_acctbal AS v FROM <customer> WHERE c_nationkey IS NOT NULL AND abs(c_acctbal) < double('infinity')),
+    own AS (SELECT DISTINCT s_nationkey AS n, CAST(floor(s_acctbal / 1000) AS DOUBLE) AS bin, s_acctbal AS v FROM <supplier> WHERE s_nationkey IS NOT NULL AND abs(s_acctbal) < double('infinity')),
+    b AS (SELECT n, bin, v FROM own UNION ALL SELECT n, bin + 1, max(v) FROM own GROUP BY n, bin UNION ALL SELECT n, bin - 1, min(v) FROM own GROUP BY n, bin),
+    both AS (SELECT n, bin, v, v AS other, false AS asks FROM b UNION ALL SELECT n, bin, v, NULL, true FROM a),
+    met AS (SELECT n, v, asks, v - max(other) OVER (PARTITION BY n, bin ORDER BY v, asks ROWS UNBOUNDED PRECEDING) AS down, min(other) OVER (PARTITION BY n, bin ORDER BY v DESC, asks ROWS UNBOUNDED PRECEDING) - v AS up FROM both),
+    near AS (SELECT n, v, least(down, up) AS distance FROM met WHERE asks AND least(down, up) <= 500)
+    SELECT c_custkey, min(distance) AS distance FROM <customer> JOIN near ON c_nationkey = n AND c_acctbal = v GROUP BY c_custkey"""
+statement("j8_nearest_within_radius", lambda d: NEAREST, oracle=lambda d: "SELECT a.c_custkey, min(abs(a.c_acctbal - b.s_acctbal)) AS distance FROM <customer> a JOIN <supplier> b ON a.c_nationkey = b.s_nationkey AND abs(a.c_acctbal - b.s_acctbal) <= 500 GROUP BY a.c_custkey")
 
 
 @query("j15_supersession")

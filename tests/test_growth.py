@@ -152,3 +152,19 @@ def test_conditions_on_verdicts_take_one_aggregate(spark, tmp_path, name):
     assert "LeftSemi" not in plan(df)
     want = db.execute(registry.oracle_sql()[name]).fetchall()
     assert want and sorted(r.scan_id for r in df.collect()) == sorted(k for k, in want)
+
+
+def test_nearest_within_radius_meets_neighbours_only(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(13)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 1e300, -0.0, 1000.0, 500.0, 1500.0, -1000.0]
+    values = lambda n: [(k, r.choice([1, 2, None]), r.choice(odd) if r.random() < 0.3 else round(r.uniform(-9000, 9000), 2)) for k in range(n)]
+    db = duckdb.connect()
+    for t, c, n in (("customer", "c", 400), ("supplier", "s", 60)):
+        spark.createDataFrame(values(n) + [(0, 1, 0.5)], f"{c}_{t[:4]}key long, {c}_nationkey int, {c}_acctbal double").write.parquet(f"{tmp_path}/{t}.parquet")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["j8_nearest_within_radius"](spark, str(tmp_path))
+    assert "<= 500" not in "".join(x for x in plan(df).splitlines() if "Join" in x)
+    want = db.execute(registry.oracle_sql()["j8_nearest_within_radius"]).fetchall()
+    assert len(want) > 100 and sorted(tuple(x) for x in df.collect()) == sorted(want)
