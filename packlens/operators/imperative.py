@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packlens.operators.matching import hamming_pairs, hashes
+from packlens.operators.matching import hamming_nearest, hashes
 from packlens.plans.dialect import statement
+from packlens.plans.lineage import cut
 from packlens.plans.registry import query
 from packlens.sources.facts import with_facts
 
@@ -52,9 +53,9 @@ statement("j8_nearest_within_radius", lambda d: NEAREST, oracle=lambda d: "SELEC
 @query("j15_supersession")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Originals linked to their nearest transcode within 20 bits, one to one: both sides choose each other."""
-    pairs = hamming_pairs(hashes(spark, sf_dir), 20)
-    a = pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", "best.b", "best.distance")
-    b = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
+    nearest = cut(hamming_nearest(hashes(spark, sf_dir), 20))
+    a = nearest.where("upward").select(F.col("id").alias("a"), F.col("other").alias("b"), "distance")
+    b = nearest.where("NOT upward").select(F.col("id").alias("b"), F.col("other").alias("a"))
     return a.join(b, ["a", "b"])
 
 

@@ -168,3 +168,24 @@ def test_nearest_within_radius_meets_neighbours_only(spark, tmp_path):
     assert "<= 500" not in "".join(x for x in plan(df).splitlines() if "Join" in x)
     want = db.execute(registry.oracle_sql()["j8_nearest_within_radius"]).fetchall()
     assert len(want) > 100 and sorted(tuple(x) for x in df.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [64, 16384])
+def test_hamming_joins_compare_blocks_in_strips(spark, monkeypatch, tmp_path, block):
+    from packlens.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", block)
+    monkeypatch.setattr(matching, "STRIP", 16)
+    r = random.Random(17)
+    h = {k: r.getrandbits(64) - (1 << 63) for k in range(-20, 300)}
+    h |= {k: h[k // 2] for k in range(300, 330)} | {400: None, 401: 0, 402: -1}
+    df = spark.createDataFrame(list(h.items()), "vec_id long, h long").repartition(3)
+    known = [(k, v) for k, v in h.items() if v is not None]
+    within = lambda bits: {(a, b, d) for a, x in known for b, y in known if a < b and (d := ((x ^ y) & (2**64 - 1)).bit_count()) <= bits}
+    got = matching.hamming_pairs(df, 22)
+    assert "explode" not in plan(got).lower() and sorted(tuple(x) for x in got.collect()) == sorted(within(22))
+    want = {}
+    for a, b, d in within(22):
+        for side, k, o in ((True, a, b), (False, b, a)):
+            want[side, k] = min(want.get((side, k), (99, 0)), (d, o))
+    assert sorted(tuple(x) for x in matching.hamming_nearest(df, 22).collect()) == sorted((*k, *v) for k, v in want.items())
